@@ -290,7 +290,9 @@ def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Item Status": F.lit("1"),
         "Manufacturer's name": F.upper(F.concat(maker(), F.lit(" CO"))),
         "Style": F.lit("M"),
-        "Model": F.when(key % 9 != 0, F.concat(F.upper("p_name"), F.lit(" SN"), _text(F.expr("p_partkey div 4")))),
+        "Model": F.concat(
+            _when(key % 9 != 0, F.upper("p_name")), F.lit(" SN"), _text(F.expr("p_partkey div 4"))
+        ),
         "Color": F.when(key % 8 != 0, F.get(colours, (key % 5).cast("int"))),
         "Type": F.lit("MT"),
         "Seed": _text(F.col("p_size")),
