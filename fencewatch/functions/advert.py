@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fencewatch.settings import IMAGE_LIST_MARK, WHITESPACE, PhoneRule
+from fencewatch.settings import IMAGE_LIST_MARK, WHITESPACE, WHITESPACE_CLASS, PhoneRule
 
 
 def trim_whitespace(text: Column) -> Column:
@@ -15,12 +15,12 @@ def trim_whitespace(text: Column) -> Column:
 
 def whitespace_count(text: Column) -> Column:
     """Number of white-space characters, Unicode ones included."""
-    return F.length(text) - F.length(F.translate(text, WHITESPACE, ""))
+    return F.length(text) - F.length(F.regexp_replace(text, WHITESPACE_CLASS, ""))
 
 
 def description(body_text: Column) -> Column:
     """Body text without tabs and line feeds; carriage returns stay."""
-    return F.translate(body_text, "\t\n", "")
+    return F.replace(F.replace(body_text, F.lit("\t"), F.lit("")), F.lit("\n"), F.lit(""))
 
 
 def has_image_script(body_text: Column) -> Column:

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from fencewatch.settings import Selector
 
-_SCRIPT = r"<(?i:script)(?=[\s/>])[^>]*>(.*?)</(?i:script)\s*>"
-_STYLE = r"<(?i:style)(?=[\s/>])[^>]*>(.*?)</(?i:style)\s*>"
-_MARKUP = rf"(?s){_SCRIPT}|{_STYLE}|<!--.*?-->|<[^>]*>"
-_FIRST_LINK = r"(?s)<(?i:a)(?=[\s/>])[^>]*>.*?(?:</(?i:a)\s*>|\z)"
+_SCRIPT = r"(?i:script)(?=[\s/>])[^>]*>(.*?)</(?i:script)\s*>"
+_STYLE = r"(?i:style)(?=[\s/>])[^>]*>(.*?)</(?i:style)\s*>"
+_MARKUP = rf"(?s)<(?:{_SCRIPT}|{_STYLE}|!--.*?-->|[^>]*>)"
+_FIRST_LINK = r"(?s)<(?i:a)(?=[\s/>])[^>]*>(?:.*?</(?i:a)\s*>|.*)"
 
 
 def start_tag_pattern(selector: Selector) -> str:
@@ -29,18 +29,27 @@ def start_tag_pattern(selector: Selector) -> str:
 
 def element_pattern(selector: Selector) -> str:
     """The element up to its first end tag, or to the end of the text when it has none."""
-    return rf"(?s){start_tag_pattern(selector)}.*?(?:</(?i:{selector.tag})\s*>|\z)"
+    return rf"(?s){start_tag_pattern(selector)}(?:.*?</(?i:{selector.tag})\s*>|.*)"
 
 
 def row_pattern(selector: Selector) -> str:
     """Like :func:`element_pattern`, but the next start tag of the same name ends it too."""
     tag = selector.tag
-    return rf"(?s){start_tag_pattern(selector)}.*?(?:</(?i:{tag})\s*>|(?=<(?i:{tag})[\s/>])|\z)"
+    ends = rf"(?:</(?i:{tag})\s*>|(?=<(?i:{tag})[\s/>]))"
+    return rf"(?s){start_tag_pattern(selector)}(?:.*?{ends}|.*)"
 
 
 def element(html: Column, selector: Selector) -> Column:
-    """First matching element with its tags; NULL when there is none."""
-    found = F.regexp_substr(html, F.lit(element_pattern(selector)))
+    """First matching element with its tags, up to its first end tag; '' when there is none.
+
+    The empty text stands for "none" so that the search is one plain expression, which can be
+    computed once in a projection of its own and then used several times.
+    """
+    return F.regexp_extract(html, element_pattern(selector), 0)
+
+
+def balanced(found: Column, html: Column, selector: Selector) -> Column:
+    """An :func:`element` whose own tag may be nested, closed by the end tag that balances it."""
     if not selector.nests:
         return found
     opening = f"<{selector.tag}"
@@ -49,7 +58,7 @@ def element(html: Column, selector: Selector) -> Column:
 
 
 def _balanced_element(html: Column, selector: Selector) -> Column:
-    """The element up to the end tag that balances its start tag (that end tag left out)."""
+    """The element without the end tag that balances its start tag."""
     start = F.regexp_instr(html, F.lit(f"(?s){start_tag_pattern(selector)}"))
     rest = F.substr(html, start)
     pieces = F.split(rest, rf"(?=</?(?i:{selector.tag})[\s/>])")
@@ -76,28 +85,20 @@ def inner_text(fragment: Column) -> Column:
     return F.regexp_replace(fragment, _MARKUP, "$1$2")
 
 
-def text_of(html: Column, selector: Selector) -> Column:
-    """Inner text of the first matching element: NULL without the element, '' when it is empty."""
-    return inner_text(element(html, selector))
-
-
-def text_in_row(row: Column, selector: Selector) -> Column:
-    """Same as :func:`text_of` for a short fragment; safe inside ``transform``."""
-    return inner_text(F.get(F.regexp_extract_all(row, F.lit(element_pattern(selector)), 0), 0))
+def text_of(found: Column) -> Column:
+    """Inner text of an :func:`element`: NULL without the element, '' when it is empty."""
+    return F.when(found != "", inner_text(found))
 
 
 def first_link(fragment: Column) -> Column:
-    """First ``a`` element of a fragment with its tags."""
-    return F.get(F.regexp_extract_all(fragment, F.lit(_FIRST_LINK), 0), 0)
+    """First ``a`` element of a fragment with its tags; '' when there is none."""
+    return F.regexp_extract(fragment, _FIRST_LINK, 0)
 
 
 def attribute_of(tag_text: Column, name: str) -> Column:
     """Value of an attribute of the first tag in a fragment, as written; NULL when absent."""
-    pattern = rf"""^<[^>]*?\s(?i:{name})\s*=\s*(?:"([^">]*)"|'([^'>]*)')"""
-    value = F.concat(
-        F.regexp_extract(tag_text, pattern, 1), F.regexp_extract(tag_text, pattern, 2)
-    )
-    return F.when(tag_text.rlike(pattern), value)
+    pattern = rf"""(?s)^<[^>]*?\s(?i:{name})\s*=\s*(["'])(.*?)\1"""
+    return F.get(F.regexp_extract_all(tag_text, F.lit(pattern), F.lit(2)), 0)
 
 
 def all_links(html: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fencewatch.operators.keyed import aggregate_per_key, newest_per_key
 from fencewatch.settings import IMAGE_ARGUMENT_SEPARATOR, IMAGE_HOST
+from fencewatch.sources.scratch import written
 
 _COUNT = r"<h2>\s*<span>(\d+)</span>\s*Results"
 _LOCATION = r"""(?s)class="search-results-location".*?<p>\s*<a\s[^>]*?href="([^"]*)\""""
@@ -87,19 +88,19 @@ def match_locations(pages: DataFrame) -> DataFrame:
     return pages.select("image_uri", F.explode(F.when(succeeded, urls)).alias("original_url"))
 
 
-def adverts_per_original(images: DataFrame, locations: DataFrame) -> DataFrame:
+def originals_used(images: DataFrame, locations: DataFrame) -> DataFrame:
+    """Which listing uses which original, each pair once: ``(original_url, listing_id)``."""
+    return images.join(locations, "image_uri").select("original_url", "listing_id").distinct()
+
+
+def adverts_per_original(used: DataFrame) -> DataFrame:
     """Number of different listings that use each original: ``(original_url, n_listings)``."""
-    used = images.join(locations, "image_uri").select("original_url", "listing_id")
-    return aggregate_per_key(
-        used, ["original_url"], F.count_distinct("listing_id").alias("n_listings")
-    )
+    return aggregate_per_key(used, ["original_url"], F.count("*").alias("n_listings"))
 
 
 def shared_images(images: DataFrame, locations: DataFrame) -> DataFrame:
     """``(listing_id, shared_by)``: the widest sharing of any original that the listing uses."""
-    used = images.join(locations, "image_uri").select("original_url", "listing_id")
-    counts = aggregate_per_key(
-        used, ["original_url"], F.count_distinct("listing_id").alias("n_listings")
-    )
-    widest = used.join(counts, "original_url")
+    # Needed on both sides of a join, so it is computed once.
+    used = written(originals_used(images, locations), "originals-used")
+    widest = used.join(adverts_per_original(used), "original_url")
     return widest.groupBy("listing_id").agg(F.max("n_listings").alias("shared_by"))

@@ -39,6 +39,7 @@ def attach_aggregates(df: DataFrame, keys: Sequence[str], *aggregates: Column) -
     """Give every row the aggregates of its group, without gathering any group in one task.
 
     A window partitioned by the keys would give the same values but holds a whole group in one
-    task; this is a partial aggregate and a join that can be split.
+    task; this is a partial aggregate and a join that can be split. The rows are read twice, so
+    costly ones should be a stored table (see ``sources.scratch.written``).
     """
     return df.join(aggregate_per_key(df, keys, *aggregates), list(keys), "left")

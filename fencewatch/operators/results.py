@@ -11,11 +11,10 @@ from fencewatch.functions.advert import posted_at, posted_text, trim_whitespace
 from fencewatch.functions.html import (
     all_links,
     attribute_of,
-    element_pattern,
+    element,
     first_link,
-    inner_text,
     row_pattern,
-    text_in_row,
+    text_of,
 )
 from fencewatch.functions.web import page_number, search_url
 from fencewatch.operators.keyed import newest_per_key
@@ -37,30 +36,30 @@ _ROW_HTML = "__row_html"
 _ROWS = "__rows"
 
 
-def summary_struct(
-    row: Column,
-    position: Column,
-    selectors: ResultPageSelectors,
-    year: int | Column,
-    crawled_on: Column | None = None,
-) -> Column:
-    """The fields that a result row states itself, each read inside its own row."""
-    link = first_link(row)
-    date_text = text_in_row(row, selectors.date)
-    posted = posted_at(date_text, year, crawled_on)
-    category_cell = F.get(
-        F.regexp_extract_all(row, F.lit(element_pattern(selectors.category)), 0), 0
-    )
+def row_elements(row: Column, position: Column, selectors: ResultPageSelectors) -> Column:
+    """The elements of a result row that are read, each searched once and inside its own row."""
     return F.struct(
         position.cast("int").alias("pos"),
-        attribute_of(link, "href").alias("link_url"),
-        inner_text(link).alias("short_title"),
-        date_text.alias("date_text"),
+        first_link(row).alias("link"),
+        text_of(element(row, selectors.date)).alias("date_text"),
+        element(row, selectors.price).alias("price"),
+        element(row, selectors.area).alias("area"),
+        first_link(element(row, selectors.category)).alias("category"),
+    )
+
+
+def row_summary(found: Column, year: int | Column, crawled_on: Column | None = None) -> Column:
+    """The fields that a result row states itself, from its :func:`row_elements`."""
+    posted = posted_at(found["date_text"], year, crawled_on)
+    return F.struct(
+        found["pos"].alias("pos"),
+        attribute_of(found["link"], "href").alias("link_url"),
+        text_of(found["link"]).alias("short_title"),
+        found["date_text"].alias("date_text"),
         posted.alias("date_posted_real"),
-        posted_text(posted).alias("date_posted_parsed"),
-        trim_whitespace(text_in_row(row, selectors.price)).alias("price"),
-        text_in_row(row, selectors.area).alias("sale_area"),
-        inner_text(first_link(category_cell)).alias("category"),
+        trim_whitespace(text_of(found["price"])).alias("price"),
+        text_of(found["area"]).alias("sale_area"),
+        text_of(found["category"]).alias("category"),
     )
 
 
@@ -81,9 +80,9 @@ def summarise_result_pages(
         *keep,
         F.regexp_extract_all("html", F.lit(row_pattern(rules.rows.row)), 0).alias(_ROW_HTML),
     )
-    summarised = F.transform(
-        _ROW_HTML, lambda row, i: summary_struct(row, i, rules.rows, year, crawled_on)
-    )
+    # Two steps, so that an element used for two fields is searched for once.
+    elements = F.transform(_ROW_HTML, lambda row, i: row_elements(row, i, rules.rows))
+    summarised = F.transform(elements, lambda found: row_summary(found, year, crawled_on))
     return split.select(
         "url",
         *keep,
@@ -148,7 +147,13 @@ def expand_results(guarded: DataFrame) -> DataFrame:
     """Rows of every request whose outcome is good; one row without fields for all others."""
     carried = [name for name in guarded.columns if name != "rows"]
     rows = F.when(F.col("status") == OK, F.col("rows"))
-    return guarded.select(*carried, F.inline_outer(rows))
+    return _with_date_text(guarded.select(*carried, F.inline_outer(rows)))
+
+
+def _with_date_text(rows: DataFrame) -> DataFrame:
+    if "date_posted_real" not in rows.columns:
+        return rows
+    return rows.withColumn("date_posted_parsed", posted_text(F.col("date_posted_real")))
 
 
 def result_rows(
@@ -159,7 +164,7 @@ def result_rows(
 ) -> DataFrame:
     """Rows of all pages, over-long pages left out; no shuffle."""
     summaries = summarise_result_pages(pages, year, rules, keep)
-    return summaries.select("url", *keep, F.inline("rows"))
+    return _with_date_text(summaries.select("url", *keep, F.inline("rows")))
 
 
 def page_links(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -170,7 +175,7 @@ def page_links(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         *keep,
         "pos",
         attribute_of(F.col("link"), "href").alias("link_url"),
-        inner_text(F.col("link")).alias("short_title"),
+        text_of(F.col("link")).alias("short_title"),
     )
 
 

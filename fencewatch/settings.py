@@ -53,6 +53,9 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# The same characters as a class of the regular expressions that Spark uses.
+WHITESPACE_CLASS = r"\p{IsWhite_Space}"
+
 # Three-letter colour codes used by the property register.
 COLOUR_CODES = {
     "BGE": "beige",

@@ -40,8 +40,9 @@ from fencewatch.plans.image_lookup import look_up_images
 from fencewatch.plans.search import newest_details, search_html, search_rss
 from fencewatch.settings import PhoneRule, SearchRules
 from fencewatch.sources.json_rows import object_fields, read_json_rows
+from fencewatch.sources.landed import spread
 from fencewatch.sources.register import read_register
-from fencewatch.sources.scratch import fresh_path
+from fencewatch.sources.scratch import fresh_path, written
 from fencewatch.workload import render
 from fencewatch.workload.render import HTML_RULES, RSS_RULES, YEAR, table
 
@@ -51,6 +52,10 @@ TODAY = "2013-01-05"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def _joined(images: str = "images") -> Column:
     return F.array_join(images, "|")
 
@@ -64,7 +69,7 @@ def _all_rows() -> SearchRules:
 
 def page_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed pages to scored adverts."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = _pages(spark, sf_dir)
     scored = read_details(pages, render.ARTICLE_PAGE, DOCUMENT_PHONES, keep=["page_id"])
     return scored.select(
         "page_id",
@@ -80,20 +85,20 @@ def page_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1, C4: every link of every page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = _pages(spark, sf_dir)
     return page_links(pages, keep=["page_id"]).drop("url")
 
 
 def phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C10, C21."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     number = advert.phone_number(F.col("text"), DOCUMENT_PHONES)
     return documents.select("doc_id", number.alias("phone_number"))
 
 
 def text_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C8, C12, F3 on plain documents."""
-    documents = table(spark, sf_dir, "documents").select(
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
         advert.whitespace_count(F.col("text")).alias("whitespace"),
         F.length(advert.description(F.col("text"))).alias("description_length"),
@@ -150,7 +155,7 @@ def link_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All terms in title and description."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = _pages(spark, sf_dir)
     adverts = read_details(pages, render.ARTICLE_PAGE, keep=["page_id"])
     text = F.concat_ws(" ", "title", "description")
     return adverts.where(web.contains_all_terms(text, "THE  of")).select("page_id", "link_url")
@@ -330,7 +335,8 @@ def image_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many adverts share an original, per original."""
     locations = image_ops.match_locations(render.location_pages(spark, sf_dir))
-    return image_ops.adverts_per_original(render.line_images(spark, sf_dir), locations)
+    used = image_ops.originals_used(render.line_images(spark, sf_dir), locations)
+    return image_ops.adverts_per_original(used)
 
 
 def shared_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,13 +458,14 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phone_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J8."""
-    return signals.phone_reuse(phone(spark, sf_dir))
+    return signals.phone_reuse(written(phone(spark, sf_dir), "phones"))
 
 
 def price_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price of a result row against the mean of its page."""
     rows = result_rows(render.result_pages(spark, sf_dir), YEAR, _all_rows())
-    ratios = signals.price_outlier(rows.select("url", "link_url", "price"), "url")
+    prices = written(rows.select("url", "link_url", "price"), "prices")
+    ratios = signals.price_outlier(prices, "url")
     amount = F.col("amount").cast("double").alias("amount")
     return ratios.select("url", "link_url", amount, "price_ratio")
 
@@ -483,8 +490,13 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The basic score with named points added."""
     details = newest_details(render.detail_pages(spark, sf_dir), HTML_RULES)
+    basic = details.select(
+        "link_url", "title", "date_posted", "phone_number", "dodgy_score"
+    )
     reused = signals.phone_reuse(
-        signals.missing_fields(details, ["title", "date_posted", "phone_number"])
+        signals.missing_fields(
+            written(basic, "basic-scores"), ["title", "date_posted", "phone_number"]
+        )
     )
     scored = signals.combine_signals(
         reused,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fencewatch.functions.web import search_url
 from fencewatch.settings import HTML_SEARCH, RSS_SEARCH, DetailPageSelectors, Selector
+from fencewatch.sources.landed import spread
 
 SITE = "example.org"
 YEAR = 2000
@@ -49,10 +50,17 @@ def order_link(key: Column, block: Column) -> Column:
     )
 
 
+_ORDER_COLUMNS = (
+    "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
+)
+
+
 def order_listings(spark: SparkSession, sf_dir: str, block_size: int = HTML_BLOCK) -> DataFrame:
     """The columns that a result row of an order shows."""
     key = F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders").withColumn("block", F.expr(f"o_orderkey div {block_size}"))
+    orders = spread(table(spark, sf_dir, "orders").select(*_ORDER_COLUMNS)).withColumn(
+        "block", F.expr(f"o_orderkey div {block_size}")
+    )
     date_text = F.date_format("o_orderdate", " MMM dd")
     price = F.concat(F.lit("$"), _text(F.floor("o_totalprice")))
     return orders.select(
@@ -197,7 +205,8 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     time = F.concat(F.lit("<time>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</time>"))
     section = F.concat(F.lit('<section class="userbody">'), detail_body(), F.lit("</section>"))
     snapshots = F.when(key % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
-    orders = table(spark, sf_dir, "orders").where(key % 97 != 5)
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+    orders = orders.where(key % 97 != 5)
     return orders.withColumn("fetched_at", F.explode(snapshots)).select(
         order_link(key, block).alias("url"),
         F.concat(
@@ -266,7 +275,7 @@ def location_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(f'.jpg" title="x">x</a>\n<a href="http://{site}/" class="url">{site}</a></p>\n</div>\n'),
         )
 
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         line_image_uri().alias("image_uri"),
         F.lit(200).alias("http_status"),
         F.concat(
