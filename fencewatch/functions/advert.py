@@ -27,18 +27,21 @@ def has_image_script(body_text: Column) -> Column:
     return F.contains(body_text, F.lit(IMAGE_LIST_MARK))
 
 
-def image_list(body_text: Column) -> Column:
-    """Image addresses out of the page's script text.
+def image_script(body_text: Column) -> Column:
+    """The image list statement of the page's script, up to its closing bracket; '' without one."""
+    return F.regexp_extract(body_text, rf"{IMAGE_LIST_MARK}[^\[\]]*\[[^\]]*\]", 0)
 
-    NULL without a script or without a bracket pair. ``[]`` gives one empty string and
-    elements are not trimmed: both are part of the rule.
+
+def image_list(script: Column) -> Column:
+    """Image addresses out of an :func:`image_script`.
+
+    NULL without one. ``[]`` gives one empty string and elements are not trimmed: both are part
+    of the rule.
     """
-    script = F.substr(body_text, F.instr(body_text, F.lit(IMAGE_LIST_MARK)))
-    opened = F.instr(script, F.lit("["))
-    closed = F.instr(script, F.lit("]"))
-    listed = F.translate(F.substr(script, opened + 1, closed - opened - 1), '"\n\r', "")
-    usable = has_image_script(body_text) & (opened > 0) & (closed > opened)
-    return F.when(usable, F.split(listed, ",", -1))
+    listed = F.regexp_extract(script, r"\[([^\]]*)\]", 1)
+    for dropped in ('"', "\n", "\r"):
+        listed = F.replace(listed, F.lit(dropped), F.lit(""))
+    return F.when(script != "", F.split(listed, ",", -1))
 
 
 def phone_number(text: Column, rule: PhoneRule = PhoneRule()) -> Column:
@@ -51,7 +54,8 @@ def phone_number(text: Column, rule: PhoneRule = PhoneRule()) -> Column:
         return _whole_phone_number(text, rule)
     windows = []
     for code in rule.area_codes:
-        at = F.instr(text, F.lit(code))
+        # Most adverts have no number: a byte search settles that before positions are counted.
+        at = F.when(F.contains(text, F.lit(code)), F.instr(text, F.lit(code)))
         windows.append(F.when(at > 1, F.substr(text, at, F.lit(rule.window))))
     window = F.coalesce(*windows, F.lit(rule.default))
     # A character outside the basic plane takes two units and is never a digit.

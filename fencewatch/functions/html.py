@@ -53,7 +53,9 @@ def balanced(found: Column, html: Column, selector: Selector) -> Column:
     if not selector.nests:
         return found
     opening = f"<{selector.tag}"
-    nested = (F.locate(opening, found, 2) > 0) | (F.locate(opening.upper(), found, 2) > 0)
+    # Byte search; it passes over the element's own start tag.
+    rest = F.substr(found, F.lit(len(opening) + 1))
+    nested = F.contains(rest, F.lit(opening)) | F.contains(rest, F.lit(opening.upper()))
     return F.when(nested, _balanced_element(html, selector)).otherwise(found)
 
 

@@ -96,7 +96,7 @@ def test_image_list(many):
         "[x] imgList = [y]",
         None,
     ]
-    assert many(texts, advert.image_list) == [
+    assert many(texts, lambda t: advert.image_list(advert.image_script(t))) == [
         ["u1", "u2"],
         [""],
         ["a", " b"],
