@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,14 +14,19 @@ _SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder is made and remembered in
-    the session.
+    Only a local session where that is unset gets a temporary folder, one for the process.
     """
     folder = spark.conf.get(_SETTING, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="fencewatch-")
-        spark.conf.set(_SETTING, folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{_SETTING} has to name a folder that all executors share")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="fencewatch-")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
