@@ -16,7 +16,7 @@ from fencewatch.settings import Selector
 _SCRIPT = r"(?i:script)(?=[\s/>])[^>]*>(.*?)</(?i:script)\s*>"
 _STYLE = r"(?i:style)(?=[\s/>])[^>]*>(.*?)</(?i:style)\s*>"
 _MARKUP = rf"(?s)<(?:{_SCRIPT}|{_STYLE}|!--.*?-->|[^>]*>)"
-_FIRST_LINK = r"(?s)<(?i:a)(?=[\s/>])[^>]*>(?:.*?</(?i:a)\s*>|.*)"
+_FIRST_LINK = r"<(?i:a)(?=[\s/>])[^>]*>(?:[^<]++|<(?!/(?i:a)\s*>))*+(?:</(?i:a)\s*>)?"
 
 
 def start_tag_pattern(selector: Selector) -> str:
@@ -27,16 +27,21 @@ def start_tag_pattern(selector: Selector) -> str:
     return rf"<(?i:{selector.tag})(?=[\s/>]){attribute}[^>]*>"
 
 
+def _up_to(tag: str) -> str:
+    """Everything before the given tag, or all of it: runs of text are taken whole, not by char."""
+    return rf"(?:[^<]++|<(?!{tag}))*+"
+
+
 def element_pattern(selector: Selector) -> str:
     """The element up to its first end tag, or to the end of the text when it has none."""
-    return rf"(?s){start_tag_pattern(selector)}(?:.*?</(?i:{selector.tag})\s*>|.*)"
+    end = rf"/(?i:{selector.tag})\s*>"
+    return rf"{start_tag_pattern(selector)}{_up_to(end)}(?:<{end})?"
 
 
 def row_pattern(selector: Selector) -> str:
-    """Like :func:`element_pattern`, but the next start tag of the same name ends it too."""
+    """The element without its end tag; the next start tag of the same name ends it too."""
     tag = selector.tag
-    ends = rf"(?:</(?i:{tag})\s*>|(?=<(?i:{tag})[\s/>]))"
-    return rf"(?s){start_tag_pattern(selector)}(?:.*?{ends}|.*)"
+    return rf"{start_tag_pattern(selector)}{_up_to(rf'/?(?i:{tag})[\s/>]')}"
 
 
 def element(html: Column, selector: Selector) -> Column:
@@ -61,7 +66,7 @@ def balanced(found: Column, html: Column, selector: Selector) -> Column:
 
 def _balanced_element(html: Column, selector: Selector) -> Column:
     """The element without the end tag that balances its start tag."""
-    start = F.regexp_instr(html, F.lit(f"(?s){start_tag_pattern(selector)}"))
+    start = F.regexp_instr(html, F.lit(start_tag_pattern(selector)))
     rest = F.substr(html, start)
     pieces = F.split(rest, rf"(?=</?(?i:{selector.tag})[\s/>])")
 

@@ -28,9 +28,11 @@ def image_rows(
 
 def listing_images(listings: DataFrame, id_column: str = "link_url") -> DataFrame:
     """Images of scored listings in the same shape as :func:`image_rows`."""
-    return listings.select(
-        F.col(id_column).alias("listing_id"), F.posexplode("images").alias("pos", "image_uri")
+    # The outer form: see result_rows.
+    rows = listings.select(
+        F.col(id_column).alias("listing_id"), F.posexplode_outer("images").alias("pos", "image_uri")
     )
+    return rows.where(F.col("pos").isNotNull())
 
 
 def match_count(html: Column) -> Column:
@@ -82,10 +84,18 @@ def nested_image_results(counted: DataFrame, part_size: int = 1000) -> DataFrame
 
 
 def match_locations(pages: DataFrame) -> DataFrame:
-    """Where each looked-up image was found: ``(image_uri, original_url)``, read from the page."""
+    """Where each looked-up image was found: ``(image_uri, original_url)``, each pair once.
+
+    Read from the newest answer for the image, so that an image looked up over and over does not
+    multiply its pairs.
+    """
+    keep = [name for name in ("fetched_at",) if name in pages.columns]
     succeeded = F.col("http_status").between(200, 299)
-    urls = F.regexp_extract_all("html", F.lit(_LOCATION), 1)
-    return pages.select("image_uri", F.explode(F.when(succeeded, urls)).alias("original_url"))
+    urls = F.array_distinct(F.regexp_extract_all("html", F.lit(_LOCATION), 1))
+    found = pages.select("image_uri", *keep, F.when(succeeded, urls).alias("urls"))
+    order = [F.col(name).desc_nulls_last() for name in keep]
+    newest = newest_per_key(found, "image_uri", order)
+    return newest.select("image_uri", F.explode("urls").alias("original_url"))
 
 
 def originals_used(images: DataFrame, locations: DataFrame) -> DataFrame:

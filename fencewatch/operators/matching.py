@@ -6,7 +6,7 @@ each item is represented by its rarest term only, found by counting; texts meet
 and the few candidates are then checked in full. Nothing is capped: an item whose rarest term is
 common gets all its candidates, and a hot term is split by the join at run time.
 
-The small results in between (terms, entry words, candidates) are written out once. Spark then knows
+The small results in between (items, entry words, candidates) are written out once. Spark then knows
 their true size: within its broadcast limit the texts are filtered where they are read and nothing of
 them is shuffled; beyond it both sides are shuffled.
 """
@@ -83,38 +83,53 @@ def texts_with_all_terms(
 
     A pair is made when every term of the item is a word of the text. Terms also listed in the
     item's ``fuzzy_column`` array may be one letter off. ``text_id`` and ``item_id`` are unique.
-    Items without terms match nothing.
+    Items without terms match nothing. Items with the same terms are matched once and only get
+    their ids back at the end.
     """
-    fuzzy = F.col(fuzzy_column) if fuzzy_column else F.array().cast("array<string>")
-    wanted = items.select(
-        "item_id",
-        F.explode(F.array_distinct("terms")).alias("term"),
-        fuzzy.alias("fuzzy_terms"),
-        F.size(F.array_distinct("terms")).alias("n_terms"),
+    terms = F.array_sort(F.array_distinct("terms"))
+    no_terms = F.array().cast("array<string>")
+    fuzzy = F.array_sort(F.array_intersect(terms, F.col(fuzzy_column))) if fuzzy_column else no_terms
+    keyed = items.select("item_id", terms.alias("terms"), fuzzy.alias("fuzzy_terms")).withColumn(
+        "set_id", F.sha2(F.to_json(F.struct("terms", "fuzzy_terms")), 256)
+    )
+    keyed = written(keyed, "items")
+    matched = _sets_in_texts(keyed, texts, fuzzy_column is not None, min_length)
+    return keyed.select("item_id", "set_id").join(matched, "set_id").select("item_id", "text_id")
+
+
+def _sets_in_texts(
+    keyed: DataFrame, texts: DataFrame, any_fuzzy: bool, min_length: int
+) -> DataFrame:
+    """Pairs ``(set_id, text_id)`` for each different set of terms."""
+    sets = keyed.select("set_id", "terms", "fuzzy_terms").dropDuplicates(["set_id"])
+    wanted = sets.select(
+        "set_id",
+        F.explode("terms").alias("term"),
+        F.size("terms").alias("n_terms"),
+        "fuzzy_terms",
     ).select(
-        "item_id", "term", "n_terms", F.array_contains("fuzzy_terms", F.col("term")).alias("fuzzy")
+        "set_id", "term", "n_terms", F.array_contains("fuzzy_terms", F.col("term")).alias("fuzzy")
     )
     tokens = texts.select("text_id", F.explode(words(F.col("text"))).alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("texts_with"))
 
-    wanted = written(wanted, "terms")
-    spellings = _spellings_in_use(wanted, frequency, fuzzy_column is not None, min_length)
+    spellings = _spellings_in_use(wanted, frequency, any_fuzzy, min_length)
     found = wanted.join(spellings, ["term", "fuzzy"])
-    per_item = found.groupBy("item_id").agg(
+    per_set = found.groupBy("set_id").agg(
         F.min(F.struct("texts_with", "term", "tokens")).alias("rarest"),
         F.collect_list("tokens").alias("needed"),
         F.count("*").alias("n_found"),
         F.max("n_terms").alias("n_terms"),
     )
-    # An item with a term that no text has cannot match.
-    possible = per_item.where(F.col("n_found") == F.col("n_terms"))
+    # A set with a term that no text has cannot match.
+    possible = per_set.where(F.col("n_found") == F.col("n_terms"))
     entry = possible.select(
-        "item_id", "needed", F.col("rarest.tokens").alias("entry_tokens")
+        "set_id", "needed", F.col("rarest.tokens").alias("entry_tokens")
     ).withColumn("token", F.explode("entry_tokens"))
     entry = written(entry, "entry-words")
 
     candidates = tokens.join(entry, "token").select(
-        "item_id", "needed", "entry_tokens", "token", "text_id"
+        "set_id", "needed", "entry_tokens", "token", "text_id"
     )
     candidates = written(candidates, "candidates")
     checked = texts.select("text_id", words(F.col("text")).alias("words")).join(
@@ -123,7 +138,7 @@ def texts_with_all_terms(
     all_present = F.forall("needed", lambda tokens_of: F.arrays_overlap(tokens_of, F.col("words")))
     # A text may hold several spellings of the entry term; the first one makes the pair.
     first = F.array_min(F.array_intersect("entry_tokens", "words")) == F.col("token")
-    return checked.where(all_present & first).select("item_id", "text_id")
+    return checked.where(all_present & first).select("set_id", "text_id")
 
 
 def _spellings_in_use(

@@ -164,7 +164,10 @@ def result_rows(
 ) -> DataFrame:
     """Rows of all pages, over-long pages left out; no shuffle."""
     summaries = summarise_result_pages(pages, year, rules, keep)
-    return _with_date_text(summaries.select("url", *keep, F.inline("rows")))
+    # The outer form keeps Spark from testing the size of the array first, which would parse the
+    # page twice.
+    rows = summaries.select("url", *keep, F.inline_outer("rows")).where(F.col("pos").isNotNull())
+    return _with_date_text(rows)
 
 
 def page_links(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -315,7 +315,7 @@ def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Wheel size": blank,
         "Seat style": blank,
     }
-    return table(spark, sf_dir, "part").select(*[c.alias(n) for n, c in columns.items()])
+    return spread(table(spark, sf_dir, "part")).select(*[c.alias(n) for n, c in columns.items()])
 
 
 MAKERS = ("schwinn", "specialized", "cannondale", "norco", "giant", "trek")
@@ -336,7 +336,7 @@ def part_adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(listing_id, text)``: an advert per part; makes are misspelt now and then."""
     key = F.col("p_partkey")
     colours = F.array(*[F.lit(c) for c in ("black", "blue", "brown and black", "silver red", "xyz")])
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         key.alias("listing_id"),
         F.concat_ws(
             " ", F.lit("Selling my"), misspelt(maker()), F.lit("co"), "p_name",

@@ -110,6 +110,13 @@ def test_no_shuffle_when_splitting(pages):
     plan = results.result_rows(pages(result_page([result_row(1)])), 2012)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text
+    # Each row is parsed once: no second copy of the expressions in a pushed filter.
+    assert text.count("itempp") == summary_text(pages).count("itempp")
+
+
+def summary_text(pages):
+    summaries = results.summarise_result_pages(pages(""), 2012)
+    return summaries._jdf.queryExecution().executedPlan().toString()
 
 
 def test_page_links(pages):
