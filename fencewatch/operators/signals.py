@@ -65,6 +65,44 @@ def price_against_known(
     return joined.withColumn("known_price_ratio", ratio).drop("average_price")
 
 
+def delay_gap(
+    listings: DataFrame, known_delays: DataFrame, stolen_on: str | Column = "stolen_date"
+) -> DataFrame:
+    """Add ``delay_days`` from theft to advert, and how far that is from the usual delay.
+
+    ``known_delays(delay_days)`` holds past cases; only its mean and deviation are used, as two
+    scalar subqueries. ``delay_gap`` is in days, ``delay_score`` in standard deviations.
+    """
+    stolen = F.col(stolen_on) if isinstance(stolen_on, str) else stolen_on
+    mean = known_delays.select(F.avg("delay_days")).scalar()
+    deviation = known_delays.select(F.nullif(F.stddev_pop("delay_days"), F.lit(0.0))).scalar()
+    dated = listings.withColumn("delay_days", F.datediff(F.col("date_posted_real"), stolen))
+    gap = F.abs(F.col("delay_days") - mean)
+    return dated.withColumn("delay_gap", gap).withColumn("delay_score", F.col("delay_gap") / deviation)
+
+
+def area_weight(listings: DataFrame, weights: DataFrame) -> DataFrame:
+    """Add ``area_weight`` from a table ``(area, weight)``; brackets, blanks and case are ignored."""
+
+    def plain(area: Column) -> Column:
+        return F.lower(F.trim(F.translate(area, "()", "")))
+
+    renamed = weights.select(plain(F.col("area")).alias("plain_area"), "weight")
+    per_area = aggregate_per_key(renamed, ["plain_area"], F.max("weight").alias("area_weight"))
+    placed = listings.withColumn("plain_area", plain(F.col("sale_area")))
+    return placed.join(per_area, "plain_area", "left").drop("plain_area")
+
+
+def on_watch_list(listings: DataFrame, phones: DataFrame) -> DataFrame:
+    """Add ``watched``: whether the advert's number is in ``phones(phone_number)``."""
+    digits = F.regexp_replace("phone_number", r"\P{Nd}", "")
+    listed = aggregate_per_key(
+        phones.select(digits.alias("phone_number")), ["phone_number"], F.lit(True).alias("listed")
+    )
+    joined = listings.join(listed, "phone_number", "left")
+    return joined.withColumn("watched", F.coalesce("listed", F.lit(False))).drop("listed")
+
+
 def missing_fields(listings: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Add ``missing_fields``, how many of the fields are NULL, blank or the default number."""
     flags = [_is_missing(name).cast("int") for name in fields]

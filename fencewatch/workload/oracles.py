@@ -183,6 +183,17 @@ _COLOUR_LIST = (
     "[['black'], ['blue'], ['brown', 'black'], ['silver', 'red'], ['xyz']][p_partkey % 5 + 1]"
 )
 
+_REGISTER_PAIRS = f"""WITH {_PART_ADVERT},
+item AS (
+  SELECT p_partkey, {_MAKER} AS make,
+    list_concat(CASE WHEN p_partkey % 9 <> 0 THEN string_split(p_name, ' ') ELSE [] END,
+      CASE WHEN p_partkey % 8 <> 0 THEN {_COLOUR_LIST} ELSE [] END) AS terms
+  FROM part)
+SELECT CAST(i.p_partkey AS VARCHAR) AS item_id, a.p_partkey AS listing_id
+FROM item i JOIN advert a ON i.p_partkey // 4 = a.p_partkey // 4
+WHERE list_has_all(a.tokens, i.terms)
+  AND len(list_filter(a.tokens, lambda t: t = i.make OR (length(t) >= 4 AND levenshtein(t, i.make) <= 1))) > 0"""
+
 _DOCUMENT_PHONE = f"numbered AS (SELECT doc_id, {_phone('text', '743', '771')} AS phone_number FROM documents)"
 
 ORACLES: dict[str, str] = {
@@ -279,16 +290,8 @@ near AS (
   WHERE token = term OR (length(token) >= 4 AND length(term) >= 4 AND levenshtein(token, term) <= 1)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY changed, term) AS r FROM near)
 SELECT token, term FROM ranked WHERE r = 1""",
-    "register_match": f"""WITH {_PART_ADVERT},
-item AS (
-  SELECT p_partkey, {_MAKER} AS make,
-    list_concat(CASE WHEN p_partkey % 9 <> 0 THEN string_split(p_name, ' ') ELSE [] END,
-      CASE WHEN p_partkey % 8 <> 0 THEN {_COLOUR_LIST} ELSE [] END) AS terms
-  FROM part)
-SELECT CAST(i.p_partkey AS VARCHAR) AS item_id, a.p_partkey AS listing_id
-FROM item i JOIN advert a ON i.p_partkey // 4 = a.p_partkey // 4
-WHERE list_has_all(a.tokens, i.terms)
-  AND len(list_filter(a.tokens, lambda t: t = i.make OR (length(t) >= 4 AND levenshtein(t, i.make) <= 1))) > 0""",
+    "register_match": f"{_REGISTER_PAIRS}",
+    "register_job": f"{_REGISTER_PAIRS} AND i.p_partkey % 2 = 1",
     "typed_sort_date": """SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS day,
   CASE WHEN o_orderkey % 7 = 0 THEN 'n/a ' ELSE ' ' END || CAST(floor(o_totalprice) AS BIGINT) || ' dollars' AS price,
   o_orderpriority, strftime(o_orderdate, '%Y%m%d') AS sort_key FROM orders ORDER BY sort_key, o_orderkey""",
@@ -334,4 +337,20 @@ pointed AS (
     THEN 100 ELSE 0 END AS phone_points FROM known)
 SELECT link_url, dodgy_score, missing_points, phone_points,
   CAST(dodgy_score + missing_points + phone_points AS INTEGER) AS total_score FROM pointed""",
+    "delay_gap": f"""WITH {_listing(144)},
+past AS (SELECT avg(l_quantity) AS mean, stddev_pop(l_quantity) AS deviation FROM lineitem),
+delayed AS (
+  SELECT link_url, CAST(date_diff('day', make_date(2000, CAST(substr(category, 1, 1) AS INTEGER) * 2, 15), posted)
+    AS INTEGER) AS delay_days FROM listing)
+SELECT link_url, delay_days, abs(delay_days - mean) AS delay_gap,
+  round(abs(delay_days - mean) / deviation, 6) AS delay_score FROM delayed CROSS JOIN past""",
+    "area_weight": f"""WITH {_listing(144)},
+weights AS (SELECT o_orderpriority, count(*) AS weight FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1)
+SELECT link_url, sale_area, weight AS area_weight
+FROM listing LEFT JOIN weights ON sale_area = ' (' || o_orderpriority || ')'""",
+    "watch_list": f"""WITH {_DETAIL},
+phones AS (SELECT DISTINCT '604555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone
+  FROM customer WHERE c_custkey % 3 = 0)
+SELECT link_url, phone_number, phone IS NOT NULL AS watched
+FROM detail LEFT JOIN phones ON phone_number = phone""",
 }

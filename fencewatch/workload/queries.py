@@ -37,6 +37,7 @@ from fencewatch.operators.results import (
 )
 from fencewatch.operators.tables import typed_sort, with_lookup_link
 from fencewatch.plans.image_lookup import look_up_images
+from fencewatch.plans.register_job import match_reported_items
 from fencewatch.plans.search import newest_details, search_html, search_rss
 from fencewatch.settings import PhoneRule, SearchRules
 from fencewatch.sources.json_rows import object_fields, read_json_rows
@@ -400,6 +401,13 @@ def register_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_register(items, render.part_adverts(spark, sf_dir))
 
 
+def register_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole register job: A6, C16, D8, J2-J4."""
+    return match_reported_items(
+        _register(spark, sf_dir), render.part_adverts(spark, sf_dir), "2013"
+    )
+
+
 # --- table helpers ----------------------------------------------------------------------------
 
 
@@ -515,6 +523,39 @@ def signal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def delay_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days from theft to advert against past delays."""
+    rows = result_rows(render.result_pages(spark, sf_dir), YEAR, _all_rows())
+    month = F.substring("category", 1, 1).cast("int") * 2
+    stolen = F.make_date(F.lit(YEAR), month, F.lit(15))
+    past = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("delay_days"))
+    gaps = signals.delay_gap(rows, past, stolen)
+    return gaps.select(
+        "link_url", "delay_days", "delay_gap", F.round("delay_score", 6).alias("delay_score")
+    )
+
+
+def area_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J13."""
+    rows = result_rows(render.result_pages(spark, sf_dir), YEAR, _all_rows())
+    weights = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("area")).agg(
+        F.count("*").alias("weight")
+    )
+    return signals.area_weight(rows, weights.where("area <> '5-LOW'")).select(
+        "link_url", "sale_area", "area_weight"
+    )
+
+
+def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of adverts on a list of numbers."""
+    key = F.col("c_custkey")
+    phones = table(spark, sf_dir, "customer").where(key % 3 == 0).select(
+        F.concat(F.lit("(604) 555-"), F.lpad((key % 10000).cast("string"), 4, "0")).alias("phone_number")
+    )
+    details = newest_details(render.detail_pages(spark, sf_dir), HTML_RULES)
+    return signals.on_watch_list(details, phones).select("link_url", "phone_number", "watched")
+
+
 QUERIES: dict[str, Query] = {
     "page_score": page_score,
     "page_links": page_link_rows,
@@ -548,6 +589,7 @@ QUERIES: dict[str, Query] = {
     "colours": colours,
     "make_spelling": make_spelling,
     "register_match": register_match,
+    "register_job": register_job,
     "typed_sort_date": typed_sort_date,
     "typed_sort_numeric": typed_sort_numeric,
     "typed_sort_text": typed_sort_text,
@@ -559,4 +601,7 @@ QUERIES: dict[str, Query] = {
     "price_known": price_known,
     "missing_fields": missing_fields,
     "signal_score": signal_score,
+    "delay_gap": delay_gap,
+    "area_weight": area_weight,
+    "watch_list": watch_list,
 }
