@@ -37,13 +37,18 @@ def _fetched_at(pages: DataFrame) -> list[str]:
     return ["fetched_at"] if "fetched_at" in pages.columns else []
 
 
-def newest_details(pages: DataFrame, rules: SearchRules, max_bytes: int | None = None) -> DataFrame:
+def newest_details(
+    pages: DataFrame, rules: SearchRules, max_bytes: int | None = None, unique: bool = False
+) -> DataFrame:
     """Scored fields of the newest snapshot of every page.
 
-    The page text is read first and left behind: only the extracted fields are shuffled.
+    The page text is read first and left behind: only the extracted fields are shuffled. With
+    ``unique`` the caller vouches for one snapshot per address and the shuffle is saved.
     """
     keep = _fetched_at(pages)
     details = read_details(pages, rules.detail, rules.phone, keep, max_bytes)
+    if unique:
+        return details.drop(*keep)
     order = [F.col(name).desc_nulls_last() for name in keep]
     return newest_per_key(details, "link_url", order).drop(*keep)
 
@@ -54,11 +59,13 @@ def _listings(
     detail_pages: DataFrame,
     rules: SearchRules,
     max_bytes: int | None,
+    unique: bool,
 ) -> DataFrame:
-    found = find_result_pages(with_search_url(requests, rules), newest_pages(summaries))
+    newest = summaries if unique else newest_pages(summaries)
+    found = find_result_pages(with_search_url(requests, rules), newest)
     rows = expand_results(guard_results(found, rules)).drop("fetched_at")
     return with_status_fields(
-        join_details(rows, newest_details(detail_pages, rules, max_bytes))
+        join_details(rows, newest_details(detail_pages, rules, max_bytes, unique))
     )
 
 
@@ -70,16 +77,18 @@ def search_html(
     rules: SearchRules = HTML_SEARCH,
     max_bytes: int | None = None,
     crawled_on: Column | None = None,
+    unique_pages: bool = False,
 ) -> DataFrame:
     """``requests(request_id, city, page, terms)`` and landed pages to scored listings.
 
     Every request gets its listings, or one status row. Two shuffled joins: requests with page
     summaries on the result address, listings with detail fields on the advert address.
+    ``unique_pages`` says that both page tables hold one snapshot per address.
     """
     summaries = summarise_result_pages(
         result_pages, year, rules, _fetched_at(result_pages), crawled_on
     )
-    return _listings(requests, summaries, detail_pages, rules, max_bytes)
+    return _listings(requests, summaries, detail_pages, rules, max_bytes, unique_pages)
 
 
 def search_rss(
@@ -88,10 +97,11 @@ def search_rss(
     detail_pages: DataFrame,
     rules: SearchRules = RSS_SEARCH,
     max_bytes: int | None = None,
+    unique_pages: bool = False,
 ) -> DataFrame:
     """Like :func:`search_html` with feeds as result lists; summary fields are NULL."""
     summaries = summarise_feeds(feeds, rules, _fetched_at(feeds))
-    listings = _listings(requests, summaries, detail_pages, rules, max_bytes)
+    listings = _listings(requests, summaries, detail_pages, rules, max_bytes, unique_pages)
     empty = {
         name: F.lit(None).cast(kind)
         for name, kind in _SUMMARY_DEFAULTS.items()

@@ -55,6 +55,17 @@ def test_html_search(spark):
     assert [r.pos for r in rows if r.request_id == "two"] == [0, 1]
 
 
+def test_unique_pages_give_the_same_listings_with_fewer_shuffles(spark):
+    pages = spark.createDataFrame(
+        [(BASE.format("two", ""), result_page([result_row(2), result_row(1)]))],
+        "url string, html string",
+    )
+    plain = search_html(asked(spark, "two"), pages, details(spark, [1]), 2012)
+    unique = search_html(asked(spark, "two"), pages, details(spark, [1]), 2012, unique_pages=True)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, unique.collect()))
+    assert "Window" not in unique._jdf.queryExecution().executedPlan().toString()
+
+
 def test_wire_form(spark):
     listings = html_search(spark)
     rows = {(r.request_id, r.pos): r.json for r in wire_json(listings, "request_id", "pos").collect()}
