@@ -78,16 +78,19 @@ def page_number(page: Column) -> Column:
     return page.try_cast("int")
 
 
-def contains_all_terms(text: Column, terms: str) -> Column:
-    """Every blank-separated term occurs in the text, whatever the case."""
-    lowered = F.lower(text)
-    wanted = [F.contains(lowered, F.lit(term)) for term in dict.fromkeys(terms.lower().split())]
+def holds_all_terms(lowered: Column, terms: str) -> Column:
+    """Every blank-separated term occurs in a text that is in lower case already."""
     matched = F.lit(True)
-    for term in wanted:
-        matched = matched & term
+    for term in dict.fromkeys(terms.lower().split()):
+        matched = matched & F.contains(lowered, F.lit(term))
     return matched
 
 
+def contains_all_terms(text: Column, terms: str) -> Column:
+    """Every blank-separated term occurs in the text, whatever the case."""
+    return holds_all_terms(F.lower(text), terms)
+
+
 def contains_all_terms_of(text: Column, terms: Column) -> Column:
     """:func:`contains_all_terms` with the terms in a column."""
     lowered = F.lower(text)

@@ -46,10 +46,7 @@ def response_json(listings: DataFrame) -> DataFrame:
     """
     entry = F.struct(F.col("pos"), wire_struct().alias("w"))
     grouped = listings.groupBy("request_id").agg(
-        F.array_sort(
-            F.collect_list(entry),
-            lambda a, b: F.coalesce(a["pos"], F.lit(0)) - F.coalesce(b["pos"], F.lit(0)),
-        ).alias("rows")
+        F.sort_array(F.collect_list(entry)).alias("rows")
     )
     answer = F.transform("rows", lambda r: r["w"])
     return grouped.select("request_id", F.to_json(answer, _KEEP_NULLS).alias("json"))

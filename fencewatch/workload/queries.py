@@ -16,6 +16,7 @@ from fencewatch.functions.score import text_points
 from fencewatch.operators import images as image_ops
 from fencewatch.operators import matching, signals
 from fencewatch.operators.details import join_details, read_details
+from fencewatch.operators.filters import adverts_with_terms
 from fencewatch.operators.feeds import feed_links, summarise_feeds
 from fencewatch.operators.output import response_json, wire_json
 from fencewatch.operators.register import (
@@ -158,8 +159,7 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All terms in title and description."""
     pages = _pages(spark, sf_dir)
     adverts = read_details(pages, render.ARTICLE_PAGE, keep=["page_id"])
-    text = F.concat_ws(" ", "title", "description")
-    return adverts.where(web.contains_all_terms(text, "THE  of")).select("page_id", "link_url")
+    return adverts_with_terms(adverts, "THE  of").select("page_id", "link_url")
 
 
 def city_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
