@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fencewatch.settings import RSS_SEARCH, SearchRules
 
 _ITEM_LIST = r"(?s)<(?:\w+:)?Seq(?:\s[^>]*)?>.*?</(?:\w+:)?Seq\s*>"
-_ITEM_LINK = r"""<(?!(?:\w+:)?Seq[\s>])[\w:.-]+\s+[\w:.-]+\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+_ITEM_LINK = r"""(?s)<(?!(?:\w+:)?Seq[\s>])[\w:.-]+\s+[\w:.-]+\s*=\s*(["'])(.*?)\1"""
 
 # The entities that XML predefines; the ampersand must come last.
 XML_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
@@ -25,12 +25,7 @@ def decode_entities(text: Column) -> Column:
 def item_links(xml: Column) -> Column:
     """First attribute of every child of the feed's item list, in order; NULL without a list."""
     listed = F.regexp_substr(xml, F.lit(_ITEM_LIST))
-    double = F.regexp_extract_all(listed, F.lit(_ITEM_LINK), 1)
-    single = F.regexp_extract_all(listed, F.lit(_ITEM_LINK), 2)
-    return F.transform(
-        F.arrays_zip(double.alias("d"), single.alias("s")),
-        lambda pair: decode_entities(F.concat(pair["d"], pair["s"])),
-    )
+    return F.transform(F.regexp_extract_all(listed, F.lit(_ITEM_LINK), F.lit(2)), decode_entities)
 
 
 def summarise_feeds(
