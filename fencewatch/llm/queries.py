@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fencewatch.llm import packing
+from fencewatch.llm import bpe, packing
 from fencewatch.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -22,5 +21,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing,)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op9_bpe)}
 ORACLES: dict[str, str] = {}
