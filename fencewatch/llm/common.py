@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,3 +106,40 @@ def as_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
         [column if isinstance(column, pa.Array) else pa.array(column, field.type) for column, field in zip(columns, schema)],
         schema=schema,
     )
+
+
+def appended(
+    frame: DataFrame,
+    fields: list[tuple[str, str]],
+    make: Callable[[], Callable[[pa.RecordBatch], list]],
+    text: str = "text",
+    keep: Callable[[list], np.ndarray] | None = None,
+) -> DataFrame:
+    """The frame with more columns that a function makes from batches of whole rows.
+
+    ``make`` is called once per task and gives the function; that one returns one array per field.
+    Columns of the frame that have a field's name are replaced. With ``keep`` only rows stay for which
+    it is true of the arrays, and the fields themselves are left out.
+    """
+    names = {name.lower() for name, _ in fields} if keep is None else set()
+    kept = [field for field in frame.schema.fields if field.name.lower() not in names]
+    described = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+    added = [f"`{name}` {kind}" for name, kind in fields] if keep is None else []
+    types = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32(), "string": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in steps(batches, text):
+            made = work(batch)
+            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            if keep is not None:
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept]).filter(pa.array(keep(made)))
+                continue
+            columns += [pa.array(values, types[kind]) for values, (_, kind) in zip(made, fields)]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + [name for name, _ in fields])
+
+    return frame.mapInArrow(run, ", ".join(described + added))
+
+
+def text_of(batch: pa.RecordBatch, text: str = "text") -> pa.Array:
+    return batch.column(batch.schema.get_field_index(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fencewatch.llm import bpe, packing
+from fencewatch.llm import bpe, packing, repetition
 from fencewatch.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -21,6 +21,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repetition.measured(documents).drop("text")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return coded.select(
@@ -31,5 +36,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op9_bpe)}
 ORACLES: dict[str, str] = {}
