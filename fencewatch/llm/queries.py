@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fencewatch.llm import bpe, packing, repetition
+from fencewatch.llm import bpe, packing, quality, repetition
 from fencewatch.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -26,6 +26,17 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measured(documents).drop("text")
 
 
+def op6_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = quality.learned(documents, table(spark, sf_dir, "labels"))
+    return quality.scored(documents, network).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return coded.select(
@@ -36,5 +47,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op6_byte_network, op9_bpe)}
 ORACLES: dict[str, str] = {}
