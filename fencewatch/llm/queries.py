@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fencewatch.llm import bpe, packing, quality, repetition
+from fencewatch.llm import bpe, packing, pii, quality, repetition
 from fencewatch.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -47,5 +47,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op6_byte_network, op9_bpe)}
+def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.found(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op6_byte_network, op9_bpe, op10_semi_markov_pii)}
 ORACLES: dict[str, str] = {}
