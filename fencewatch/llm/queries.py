@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fencewatch.llm import bpe, packing, pii, quality, repetition
+from fencewatch.llm import bpe, packing, pii, quality, repetition, urls
 from fencewatch.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -37,6 +37,15 @@ def op6_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Listed rules as (verdict, host/path).
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages, urls.labelled_by_document(pages, table(spark, sf_dir, "labels")), URL_RULES)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return coded.select(
@@ -56,5 +65,5 @@ def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op6_byte_network, op9_bpe, op10_semi_markov_pii)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op6_byte_network, op8_url_rules, op9_bpe, op10_semi_markov_pii)}
 ORACLES: dict[str, str] = {}
