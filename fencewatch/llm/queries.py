@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fencewatch.llm import bpe, packing, pii, quality, repetition, urls
+from fencewatch.llm import bpe, chat, packing, pii, quality, repetition, urls
 from fencewatch.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -26,6 +26,25 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measured(documents).drop("text")
 
 
+#: What conversation -7 says in both turns: the template's own control strings.
+_TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", _TRICKY), (-7, 1, "assistant", _TRICKY)], turns.schema)
+    made = chat.conversations(chat.chain(turns.unionByName(tricky)))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return chat.read_back(made, ["tree_id"]).select(
+        F.col("tree_id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op6_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     network = quality.learned(documents, table(spark, sf_dir, "labels"))
@@ -65,5 +84,29 @@ def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op6_byte_network, op8_url_rules, op9_bpe, op10_semi_markov_pii)}
-ORACLES: dict[str, str] = {}
+_OP5_SQL = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
+  FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  )
+), sized AS (
+  SELECT *, length(text)
+    + len(regexp_extract_all(text, '\\[\\\\*/?(INST|ROLE|TEXT)\\]|<\\\\*/?s>')) AS body
+  FROM turns
+)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(body + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6
+                                ELSE length(url_encode(role)) + 22 END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op5_reply_trees, op6_byte_network, op8_url_rules, op9_bpe, op10_semi_markov_pii)}
+ORACLES = {"op5_reply_trees": _OP5_SQL}
