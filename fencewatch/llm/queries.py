@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fencewatch.llm import bpe, chat, packing, pii, quality, repetition, urls
+from fencewatch.llm import bpe, chat, packing, pages, pii, quality, repetition, urls
 from fencewatch.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -56,13 +56,18 @@ def op6_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_boosted_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = pages.extracted(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 #: Listed rules as (verdict, host/path).
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judged(pages, urls.labelled_by_document(pages, table(spark, sf_dir, "labels")), URL_RULES)
+    rows = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(rows, urls.labelled_by_document(rows, table(spark, sf_dir, "labels")), URL_RULES)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,5 +113,5 @@ SELECT conv_id,
 FROM sized GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op5_reply_trees, op6_byte_network, op8_url_rules, op9_bpe, op10_semi_markov_pii)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op5_reply_trees, op6_byte_network, op7_boosted_main_text, op8_url_rules, op9_bpe, op10_semi_markov_pii)}
 ORACLES = {"op5_reply_trees": _OP5_SQL}
