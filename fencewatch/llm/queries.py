@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fencewatch.llm import bpe, chat, neighbours, packing, pages, pii, quality, repetition, urls
+from fencewatch.llm import bpe, chat, jaccard, neighbours, packing, pages, pii, quality, repetition, urls
 from fencewatch.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -26,6 +26,10 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measured(documents).drop("text")
 
 
+def op3_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -121,5 +125,5 @@ SELECT conv_id,
 FROM sized GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op4_hilbert_neighbours, op5_reply_trees, op6_byte_network, op7_boosted_main_text, op8_url_rules, op9_bpe, op10_semi_markov_pii)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op3_trie_jaccard, op4_hilbert_neighbours, op5_reply_trees, op6_byte_network, op7_boosted_main_text, op8_url_rules, op9_bpe, op10_semi_markov_pii)}
 ORACLES = {"op5_reply_trees": _OP5_SQL}
