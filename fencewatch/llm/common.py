@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one step in a task looks at together; a longer text is a step of its own.
 STEP_BYTES = 2_000_000
@@ -143,3 +144,55 @@ def appended(
 
 def text_of(batch: pa.RecordBatch, text: str = "text") -> pa.Array:
     return batch.column(batch.schema.get_field_index(text))
+
+
+#: 64-bit words of a key filter: 2 MB whatever the number of keys.
+FILTER_WORDS = 1 << 18
+
+
+def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    spread = mix(keys.view(np.uint64))
+    return (spread % np.uint64(FILTER_WORDS)).astype(np.int64), np.uint64(1) << (spread >> np.uint64(58))
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with a bit set for each long in the frame's only column.
+
+    It says "certainly not there" or "perhaps there". What passes still goes through an exact join, so that a
+    full bitmap costs speed and never changes a result.
+    """
+    name = keys.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(FILTER_WORDS, np.uint64)
+        for batch in batches:
+            at, bit = _bits(batch.column(0).drop_null().to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(words, at, bit)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["word", "bits"])
+
+    part = keys.select(name).mapInArrow(run, "word long, bits long")
+    rows = part.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(FILTER_WORDS, np.uint64)
+    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return words
+
+
+def perhaps_there(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at, bit = _bits(np.ascontiguousarray(keys))
+    return (words[at] & bit) != 0
+
+
+def filtered_by(frame: DataFrame, words: np.ndarray, key: str, there: bool) -> DataFrame:
+    """The rows whose key is perhaps (or certainly not) among the filter's; null keys are never among them."""
+    shared = frame.sparkSession.sparkContext.broadcast(words)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(key))
+            hit = perhaps_there(shared.value, column.fill_null(0).to_numpy(zero_copy_only=False))
+            hit &= column.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit if there else ~hit))
+
+    return frame.mapInArrow(run, schema)

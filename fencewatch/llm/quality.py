@@ -34,6 +34,7 @@ class Training:
     filters: int = 16
     hidden: int = 12
     epochs: int = 10
+    least_steps: int = 500
     batch: int = 50
     rate: float = 0.01
     seed: int = 7
@@ -148,8 +149,10 @@ class ByteNetwork:
         wanted = np.array(labels, np.float32)
         first = {n: np.zeros_like(v) for n, v in self.weights.items()}
         second = {n: np.zeros_like(v) for n, v in self.weights.items()}
-        total, step = s.epochs * -(-len(texts) // s.batch), 0
-        for _ in range(s.epochs):
+        in_epoch = -(-len(texts) // s.batch)
+        epochs = max(s.epochs, -(-s.least_steps // in_epoch))
+        total, step = epochs * in_epoch, 0
+        for _ in range(epochs):
             order = draw.permutation(len(texts))
             for at in range(0, len(order), s.batch):
                 pick = order[at : at + s.batch]
