@@ -128,7 +128,9 @@ class ByteNetwork:
         pooled = back @ w["dense"].T
         f = k["largest"].shape[1]
         owner = np.repeat(np.arange(len(x.first)), k["sizes"])
-        chunk = (k["chunks"] == k["largest"][owner]) * pooled[owner, :f] + (pooled[:, f:] / k["sizes"][:, None])[owner]
+        largest = (k["chunks"] == k["largest"][owner]).astype(np.float32)
+        largest /= np.add.reduceat(largest, x.first)[owner]
+        chunk = largest * pooled[owner, :f] + (pooled[:, f:] / k["sizes"][:, None])[owner]
         chunk /= k["counts"][:, None]
         block = chunk.copy()
         np.add.at(block, x.after, np.where(k["double"], chunk, 0))
