@@ -73,8 +73,8 @@ def _whole_phone_number(text: Column, rule: PhoneRule) -> Column:
     )
 
 
-def posted_at(date_text: Column, year: Column | int, crawled_on: Column | None = None) -> Column:
-    """UTC instant of a year-less date such as `` Dec 11``; NULL when it does not parse.
+def posted_on(date_text: Column, year: Column | int, crawled_on: Column | None = None) -> Column:
+    """Day of a year-less date such as `` Dec 11``, in any session zone; NULL when it does not parse.
 
     The first seven characters must be a blank, a month and a two-digit day. With
     ``crawled_on`` a date later than the crawl is taken to be of the year before.
@@ -83,18 +83,20 @@ def posted_at(date_text: Column, year: Column | int, crawled_on: Column | None =
     seven = F.when(F.length(date_text) >= 7, F.substring(date_text, 1, 7))
 
     def in_year(number: Column) -> Column:
-        text = F.concat(F.lpad(number.cast("string"), 4, "0"), seven, F.lit(" Z"))
-        return F.try_to_timestamp(text, F.lit("yyyy MMM dd X"))
+        text = F.concat(F.lpad(number.cast("string"), 4, "0"), seven)
+        # Read and cut in one zone, whichever it is, so that the day stays as written.
+        return F.try_to_timestamp(text, F.lit("yyyy MMM dd")).cast("date")
 
     same_year = in_year(year_column)
     if crawled_on is None:
         return same_year
     before = in_year(year_column - 1)
-    return F.when(same_year.cast("date") > crawled_on, before).otherwise(same_year)
+    return F.when(same_year > crawled_on, before).otherwise(same_year)
 
 
-def posted_text(instant: Column) -> Column:
-    return F.date_format(instant, "dd MMM yyyy HH:mm:ss")
+def posted_text(day: Column) -> Column:
+    """The day as shown, at midnight."""
+    return F.concat(F.date_format(day, "dd MMM yyyy"), F.lit(" 00:00:00"))
 
 
 def price_amount(price: Column) -> Column:

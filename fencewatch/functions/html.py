@@ -23,7 +23,7 @@ def start_tag_pattern(selector: Selector) -> str:
     attribute = ""
     if selector.css_class is not None:
         value = re.escape(selector.css_class)
-        attribute = rf"""[^>]*?\s(?i:class)\s*=\s*(?:"{value}"|'{value}')"""
+        attribute = rf"""[^>]*?\s(?i:class)\s*=\s*(?:"{value}"|'{value}'|{value}(?=[\s>]))"""
     return rf"<(?i:{selector.tag})(?=[\s/>]){attribute}[^>]*>"
 
 
@@ -57,10 +57,10 @@ def balanced(found: Column, html: Column, selector: Selector) -> Column:
     """An :func:`element` whose own tag may be nested, closed by the end tag that balances it."""
     if not selector.nests:
         return found
-    opening = f"<{selector.tag}"
+    opening = f"<{selector.tag}".lower()
     # Byte search; it passes over the element's own start tag.
-    rest = F.substr(found, F.lit(len(opening) + 1))
-    nested = F.contains(rest, F.lit(opening)) | F.contains(rest, F.lit(opening.upper()))
+    rest = F.lower(F.substr(found, F.lit(len(opening) + 1)))
+    nested = F.contains(rest, F.lit(opening))
     return F.when(nested, _balanced_element(html, selector)).otherwise(found)
 
 
@@ -104,8 +104,9 @@ def first_link(fragment: Column) -> Column:
 
 def attribute_of(tag_text: Column, name: str) -> Column:
     """Value of an attribute of the first tag in a fragment, as written; NULL when absent."""
-    pattern = rf"""(?s)^<[^>]*?\s(?i:{name})\s*=\s*(["'])(.*?)\1"""
-    return F.get(F.regexp_extract_all(tag_text, F.lit(pattern), F.lit(2)), 0)
+    # One group for a quoted value and one for a bare one; the mark between tells "" from none.
+    pattern = rf"""(?s)^<[^>]*?\s(?i:{name})\s*=\s*(?:(["'])(.*?)\1|([^\s"'>]+)).*"""
+    return F.when(F.regexp_like(tag_text, F.lit(pattern)), F.regexp_replace(tag_text, pattern, "$2$3"))
 
 
 def all_links(html: Column) -> Column:

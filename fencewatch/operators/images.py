@@ -9,7 +9,7 @@ from fencewatch.operators.keyed import aggregate_per_key, newest_per_key
 from fencewatch.settings import IMAGE_ARGUMENT_SEPARATOR, IMAGE_HOST
 from fencewatch.sources.scratch import written
 
-_COUNT = r"<h2>\s*<span>(\d+)</span>\s*Results"
+_COUNT = r"<h2>\s*<span>(\d+(?:,\d{3})*)</span>\s*Results?\b"
 _LOCATION = r"""(?s)class="search-results-location".*?<p>\s*<a\s[^>]*?href="([^"]*)\""""
 
 
@@ -37,7 +37,7 @@ def listing_images(listings: DataFrame, id_column: str = "link_url") -> DataFram
 
 def match_count(html: Column) -> Column:
     """Number of matches that an image-search page states; NULL when it states none."""
-    return F.regexp_extract(html, _COUNT, 1).try_cast("int")
+    return F.translate(F.regexp_extract(html, _COUNT, 1), ",", "").try_cast("int")
 
 
 def read_match_pages(pages: DataFrame) -> DataFrame:
@@ -63,15 +63,13 @@ def count_matches(images: DataFrame, match_pages: DataFrame) -> DataFrame:
     )
 
 
-def nested_image_results(counted: DataFrame, part_size: int = 1000) -> DataFrame:
-    """One row per listing with its images in order: ``(listing_id, part, images)``.
+def nested_image_results(counted: DataFrame) -> DataFrame:
+    """One row per lookup with all its images in order: ``(listing_id, images)``.
 
-    A listing with more than ``part_size`` images continues in further parts, so no group grows
-    with the data and nothing is left out. Ordinary listings have part 0 only.
+    The images of a lookup came out of one cell, which bounds the row that they go back into.
     """
-    part = F.floor(F.col("pos") / F.lit(part_size)).cast("int").alias("part")
     entry = F.struct("pos", "image_uri", "match_count")
-    grouped = counted.groupBy("listing_id", part).agg(
+    grouped = counted.groupBy("listing_id").agg(
         F.sort_array(F.collect_list(entry)).alias("entries")
     )
     wire = F.transform(
@@ -80,7 +78,7 @@ def nested_image_results(counted: DataFrame, part_size: int = 1000) -> DataFrame
             e["image_uri"].alias("imageURI"), e["match_count"].alias("tinEyeImageCount")
         ),
     )
-    return grouped.select("listing_id", "part", wire.alias("images"))
+    return grouped.select("listing_id", wire.alias("images"))
 
 
 def match_locations(pages: DataFrame) -> DataFrame:

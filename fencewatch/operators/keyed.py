@@ -15,7 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fencewatch.sources.scratch import written
+
 _KEY_HASH = "__key_hash"
+_PLACE = "__place"
+_PART = "__part"
 _RANK = "__rank"
 
 
@@ -43,3 +47,32 @@ def attach_aggregates(df: DataFrame, keys: Sequence[str], *aggregates: Column) -
     costly ones should be a stored table (see ``sources.scratch.written``).
     """
     return df.join(aggregate_per_key(df, keys, *aggregates), list(keys), "left")
+
+
+def numbered_rows(
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str
+) -> DataFrame:
+    """Add each row's number within its group, from 1 in the given total order.
+
+    Rows are range-sorted on group and order, and written. Counting the rows of every group in each
+    sorted part gives the number at which the part starts, so no group is ever in one task: the only
+    window is over one row per group and part.
+    """
+    keys = [F.col(group) for group in groups]
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = written(ranged.withColumn(_PLACE, F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn(_PART, F.shiftright(_PLACE, 33))
+    counts = placed.groupBy(*groups, _PART).agg(
+        F.count("*").alias("__rows"), F.min(_PLACE).alias("__first")
+    )
+    before = Window.partitionBy(*groups).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        *[F.col(group).alias(f"__{group}") for group in groups],
+        F.col(_PART).alias("__at"),
+        (F.col("__first") - F.coalesce(F.sum("__rows").over(before), F.lit(0))).alias("__start"),
+    )
+    same = F.col(_PART) == F.col("__at")
+    for group in groups:
+        same &= F.col(group).eqNullSafe(F.col(f"__{group}"))
+    number = (F.col(_PLACE) - F.col("__start") + 1).cast("int").alias(name)
+    return placed.join(starts, same).select(*df.columns, number)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fencewatch.operators.results import OK
-from fencewatch.settings import LISTING_WIRE_NAMES
+from fencewatch.settings import HTML_SEARCH, LISTING_WIRE_NAMES, SearchRules
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -25,8 +25,17 @@ def with_status_fields(listings: DataFrame) -> DataFrame:
     ).drop("status_title", "status_description")
 
 
+def wire_date(day: Column) -> Column:
+    """A date as the endpoints' JSON writes it: milliseconds since 1970 of its midnight in UTC."""
+    millis = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000
+    return F.concat(F.lit("/Date("), millis.cast("string"), F.lit(")/"))
+
+
 def wire_struct() -> Column:
-    return F.struct(*[F.col(name).alias(wire) for name, wire in LISTING_WIRE_NAMES.items()])
+    dated = {"date_posted_real": wire_date(F.col("date_posted_real"))}
+    return F.struct(
+        *[dated.get(name, F.col(name)).alias(wire) for name, wire in LISTING_WIRE_NAMES.items()]
+    )
 
 
 def wire_columns(listings: DataFrame) -> DataFrame:
@@ -39,11 +48,14 @@ def wire_json(listings: DataFrame, *keep: str) -> DataFrame:
     return listings.select(*keep, F.to_json(wire_struct(), _KEEP_NULLS).alias("json"))
 
 
-def response_json(listings: DataFrame) -> DataFrame:
+def response_json(listings: DataFrame, rules: SearchRules = HTML_SEARCH) -> DataFrame:
     """``(request_id, json)``: the whole answer to each request as one JSON array, in page order.
 
-    Only for guarded listings: the guard keeps every group below its maximum number of rows.
+    Only for listings of guarded searches: the guard keeps every group below its maximum number of
+    rows. Rules without a maximum are refused.
     """
+    if rules.max_results is None:
+        raise ValueError("an answer without a maximum number of rows can't be one array")
     entry = F.struct(F.col("pos"), wire_struct().alias("w"))
     grouped = listings.groupBy("request_id").agg(
         F.sort_array(F.collect_list(entry)).alias("rows")
@@ -53,11 +65,11 @@ def response_json(listings: DataFrame) -> DataFrame:
 
 
 def image_response_json(nested: DataFrame) -> DataFrame:
-    """``(listing_id, part, json)``: image results in the shape the image endpoint returns."""
+    """``(listing_id, json)``: image results in the shape the image endpoint returns."""
     answer = F.array(
         F.struct(
             F.col("listing_id").cast("string").alias("craigslistInfoId"),
             F.col("images").alias("tinEyeImageInfos"),
         )
     )
-    return nested.select("listing_id", "part", F.to_json(answer, _KEEP_NULLS).alias("json"))
+    return nested.select("listing_id", F.to_json(answer, _KEEP_NULLS).alias("json"))

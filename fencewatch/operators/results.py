@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fencewatch.functions.advert import posted_at, posted_text, trim_whitespace
+from fencewatch.functions.advert import posted_on, posted_text, trim_whitespace
 from fencewatch.functions.html import (
     all_links,
     attribute_of,
@@ -17,7 +18,7 @@ from fencewatch.functions.html import (
     text_of,
 )
 from fencewatch.functions.web import page_number, search_url
-from fencewatch.operators.keyed import newest_per_key
+from fencewatch.operators.keyed import newest_per_key, numbered_rows
 from fencewatch.settings import (
     HTML_SEARCH,
     NO_RESULTS_TITLE,
@@ -50,7 +51,7 @@ def row_elements(row: Column, position: Column, selectors: ResultPageSelectors)
 
 def row_summary(found: Column, year: int | Column, crawled_on: Column | None = None) -> Column:
     """The fields that a result row states itself, from its :func:`row_elements`."""
-    posted = posted_at(found["date_text"], year, crawled_on)
+    posted = posted_on(found["date_text"], year, crawled_on)
     return F.struct(
         found["pos"].alias("pos"),
         attribute_of(found["link"], "href").alias("link_url"),
@@ -143,6 +144,25 @@ def guard_results(found: DataFrame, rules: SearchRules = HTML_SEARCH) -> DataFra
     )
 
 
+def guarded_since(
+    guarded: DataFrame, stolen_on: Column, rules: SearchRules = HTML_SEARCH
+) -> DataFrame:
+    """Only rows posted on the given day or later, undated ones not among them.
+
+    The guard has counted the whole page before; a good request without a row left is empty.
+    """
+    rows = F.filter("rows", lambda row: row["date_posted_real"] >= stolen_on)
+    none_left = (F.col("status") == OK) & (F.size(rows) == 0)
+    status = F.when(none_left, EMPTY).otherwise(F.col("status"))
+    since = guarded.withColumn("rows", rows).withColumn("status", status)
+    return since.withColumns(
+        {
+            "status_title": status_title(F.col("status"), rules),
+            "status_description": status_description(F.col("status"), rules),
+        }
+    )
+
+
 def expand_results(guarded: DataFrame) -> DataFrame:
     """Rows of every request whose outcome is good; one row without fields for all others."""
     carried = [name for name in guarded.columns if name != "rows"]
@@ -162,8 +182,8 @@ def result_rows(
     rules: SearchRules = HTML_SEARCH,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows of all pages, over-long pages left out; no shuffle."""
-    summaries = summarise_result_pages(pages, year, rules, keep)
+    """Rows of all pages, however many a page has; no shuffle. The guard is the searches' business."""
+    summaries = summarise_result_pages(pages, year, replace(rules, max_results=None), keep)
     # The outer form keeps Spark from testing the size of the array first, which would parse the
     # page twice.
     rows = summaries.select("url", *keep, F.inline_outer("rows")).where(F.col("pos").isNotNull())
@@ -185,11 +205,11 @@ def page_links(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def one_page_of_rows(
     df: DataFrame, group: str, order: Sequence[Column], page: int, page_size: int
 ) -> DataFrame:
-    """Rows ``page * page_size`` and on of every group, at most one page of them.
+    """Rows ``page * page_size`` and on of every group, at most one page of them, at any page.
 
-    The upper bound is a plain rank limit, so each task drops all rows past it before the
-    shuffle and no group is gathered whole.
+    The order should be total. See :func:`fencewatch.operators.keyed.numbered_rows`: no group is
+    gathered whole.
     """
-    ranked = df.withColumn("row_no", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     first = page * page_size
-    return ranked.where((F.col("row_no") <= first + page_size) & (F.col("row_no") > first))
+    numbered = numbered_rows(df, [group], order, "row_no")
+    return numbered.where((F.col("row_no") <= first + page_size) & (F.col("row_no") > first))

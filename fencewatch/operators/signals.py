@@ -12,17 +12,22 @@ from pyspark.sql import functions as F
 
 from fencewatch.functions.advert import price_amount
 from fencewatch.operators.keyed import aggregate_per_key, attach_aggregates
+from fencewatch.operators.results import OK
 from fencewatch.settings import PHONE_DEFAULT
 
 
 def posted_after(
     listings: DataFrame, stolen_on: str | Column = "stolen_date", keep_undated: bool = False
 ) -> DataFrame:
-    """Only adverts posted on the day of the theft or later."""
+    """Only adverts posted on the day of the theft or later; status rows, which are none, stay."""
     stolen = F.col(stolen_on) if isinstance(stolen_on, str) else stolen_on
-    posted = F.col("date_posted_real").cast("date")
+    posted = F.col("date_posted_real")
     wanted = posted >= stolen
-    return listings.where(wanted | posted.isNull()) if keep_undated else listings.where(wanted)
+    if keep_undated:
+        wanted = wanted | posted.isNull()
+    if "status" in listings.columns:
+        wanted = wanted | (F.col("status") != OK)
+    return listings.where(wanted)
 
 
 def phone_reuse(listings: DataFrame, default: str = PHONE_DEFAULT) -> DataFrame:

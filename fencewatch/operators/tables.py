@@ -14,6 +14,7 @@ from fencewatch.functions.tables import (
     sort_kind,
     text_sort_key,
 )
+from fencewatch.operators.keyed import numbered_rows
 
 _KEYS = {"date": date_sort_key, "numeric": numeric_sort_key, "text": text_sort_key}
 
@@ -29,7 +30,7 @@ def typed_sort(
     tie_breakers: Sequence[str],
     descending: bool = False,
 ) -> DataFrame:
-    """Sort text rows by what the text means: ``date``, ``numeric`` or ``text``.
+    """Sort text rows by what the text means: ``date``, ``numeric`` or ``text``; adds ``row_no``.
 
     The tie breakers should make the order total: the result is then repeatable, and many equal
     keys are still spread over range partitions.
@@ -38,7 +39,7 @@ def typed_sort(
     keyed = df.withColumn("sort_key", key)
     direction = F.col("sort_key").desc() if descending else F.col("sort_key").asc()
     rest = [F.col(name).desc() if descending else F.col(name).asc() for name in tie_breakers]
-    return keyed.orderBy(direction, *rest)
+    return numbered_rows(keyed, [], [direction, *rest], "row_no").orderBy("row_no")
 
 
 def kind_of_column(df: DataFrame, column: str, order: Sequence[str]) -> str:

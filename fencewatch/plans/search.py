@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from fencewatch.operators.results import (
     expand_results,
     find_result_pages,
     guard_results,
+    guarded_since,
     newest_pages,
     summarise_result_pages,
     with_search_url,
@@ -25,7 +24,7 @@ from fencewatch.settings import HTML_SEARCH, RSS_SEARCH, SearchRules
 _SUMMARY_DEFAULTS = {
     "short_title": "string",
     "date_text": "string",
-    "date_posted_real": "timestamp",
+    "date_posted_real": "date",
     "date_posted_parsed": "string",
     "price": "string",
     "sale_area": "string",
@@ -60,10 +59,14 @@ def _listings(
     rules: SearchRules,
     max_bytes: int | None,
     unique: bool,
+    stolen_on: Column | None = None,
 ) -> DataFrame:
     newest = summaries if unique else newest_pages(summaries)
     found = find_result_pages(with_search_url(requests, rules), newest)
-    rows = expand_results(guard_results(found, rules)).drop("fetched_at")
+    guarded = guard_results(found, rules)
+    if stolen_on is not None:
+        guarded = guarded_since(guarded, stolen_on, rules)
+    rows = expand_results(guarded).drop("fetched_at")
     return with_status_fields(
         join_details(rows, newest_details(detail_pages, rules, max_bytes, unique))
     )
@@ -78,9 +81,13 @@ def search_html(
     max_bytes: int | None = None,
     crawled_on: Column | None = None,
     unique_pages: bool = False,
+    stolen_on: Column | None = None,
 ) -> DataFrame:
     """``requests(request_id, city, page, terms)`` and landed pages to scored listings.
 
+    With ``stolen_on``, a date of the request, only adverts posted on that day or later are listed; a
+    request of which none is left gets the status row of an empty result.
+
     Every request gets its listings, or one status row. Two shuffled joins: requests with page
     summaries on the result address, listings with detail fields on the advert address.
     ``unique_pages`` says that both page tables hold one snapshot per address.
@@ -88,7 +95,7 @@ def search_html(
     summaries = summarise_result_pages(
         result_pages, year, rules, _fetched_at(result_pages), crawled_on
     )
-    return _listings(requests, summaries, detail_pages, rules, max_bytes, unique_pages)
+    return _listings(requests, summaries, detail_pages, rules, max_bytes, unique_pages, stolen_on)
 
 
 def search_rss(
@@ -113,7 +120,3 @@ def search_rss(
 def in_request_order(listings: DataFrame, *ids: str) -> DataFrame:
     """Order for the sink: by request, then by place on the result page."""
     return listings.orderBy(*(ids or ("request_id",)), F.col("pos"))
-
-
-def listing_text(listings: DataFrame, parts: Sequence[str] = ("title", "description")) -> Column:
-    return F.concat_ws(" ", *[F.col(name) for name in parts])

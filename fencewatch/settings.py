@@ -22,7 +22,6 @@ HTML_PAGE_SIZE = 100
 HTML_MAX_RESULTS = 50
 RSS_PAGE_SIZE = 25
 RSS_MAX_RESULTS = 25
-MAX_PAGE_BYTES = 1_000_000
 TOO_MANY_TITLE = "More than {limit} results returned, please be more selective"
 NO_RESULTS_TITLE = "No results returned, alter your search terms"
 DEFAULT_CITY = "vancouver"

@@ -35,14 +35,3 @@ def read_match_page_table(spark: SparkSession, path: str) -> DataFrame:
 def within_size(pages: DataFrame, max_bytes: int) -> DataFrame:
     """Pages that a client with a response limit would have accepted."""
     return pages.where(F.octet_length("html") <= max_bytes)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when the input comes in fewer splits than there are cores.
-
-    Parsing a page costs far more than moving it. Inputs with enough splits, as every large one
-    has, are left as they are. Meant for scans: asking for the number of splits of a frame with
-    shuffles would run them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,21 +10,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session where that is unset gets a temporary folder, one for the process.
-    """
+    """The folder that the session names in ``spark.checkpoint.dir``; an error where it names none."""
     folder = spark.conf.get(_SETTING, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError(f"{_SETTING} has to name a folder that all executors share")
-    return _local_folder()
-
-
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="fencewatch-")
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -76,7 +76,7 @@ _DETAIL = f"""body AS (
          ELSE list_transform(range(1, o_orderkey % 12 + 1),
                 lambda i: 'http://img.example.org/' || o_orderkey || '_' || i || '.jpg') END AS images,
     CASE WHEN o_orderkey % 83 <> 4 THEN
-      E'\\nFor sale\\t' || repeat('word ', o_orderkey % 200) ||
+      E'\\nFor sale\\t' || CASE WHEN o_orderkey % 8 = 3 THEN 'more ' ELSE '' END || repeat('word ', o_orderkey % 200) ||
       CASE o_orderkey % 3 WHEN 0 THEN ' call 604-555-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || ' '
                           WHEN 1 THEN ' ring 708 555 0' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || ' '
                           ELSE '' END ||
@@ -85,7 +85,7 @@ _DETAIL = f"""body AS (
            ELSE 'var imgList = ["' || array_to_string(list_transform(range(1, o_orderkey % 12 + 1),
                 lambda i: 'http://img.example.org/' || o_orderkey || '_' || i || '.jpg'), '","') || '"];' END
     END AS body
-  FROM orders WHERE o_orderkey % 97 <> 5),
+  FROM orders),
 measured AS (
   SELECT *, CAST(length(body) - length(translate(body, E'\\t\\n ', '')) AS INTEGER) AS ws,
     CASE WHEN images IS NULL THEN 500 ELSE 500 - 50 * CAST(len(images) AS INTEGER) END AS image_points
@@ -100,24 +100,27 @@ detail AS (
     CASE WHEN body IS NULL THEN 'no_body' WHEN title IS NULL THEN 'no_title' ELSE 'ok' END AS parse_status
   FROM measured)"""
 
-_HTML_FOUND = f"""WITH {_listing(144)}, {_asked(144, 50, '')}, {_DETAIL},
+# Some detail pages were never landed.
+_LANDED = "landed AS (SELECT * FROM detail WHERE k % 97 <> 5)"
+
+_HTML_FOUND = f"""WITH {_listing(144)}, {_asked(144, 50, '')}, {_DETAIL}, {_LANDED},
 found AS (
   SELECT a.request_id, a.status, l.pos, l.link_url, d.date_posted, d.images, d.phone_number,
     CASE WHEN a.status = 'ok' THEN d.title ELSE a.status_title END AS title,
     CASE WHEN a.status = 'ok' THEN d.description ELSE a.status_description END AS description,
     CASE WHEN a.status = 'ok' THEN d.dodgy_score ELSE 0 END AS dodgy_score,
-    d.dodgy_description, l.price, l.sale_area, l.short_title, l.category, l.date_posted_parsed,
+    d.dodgy_description, l.price, l.sale_area, l.short_title, l.category, l.date_posted_parsed, l.posted,
     CASE WHEN l.link_url IS NOT NULL THEN coalesce(d.parse_status, 'detail_missing') END AS parse_status
   FROM answered a
   LEFT JOIN listing l ON a.status = 'ok' AND a.block = l.block AND a.st = l.st
-  LEFT JOIN detail d ON l.link_url = d.link_url)"""
+  LEFT JOIN landed d ON l.link_url = d.link_url)"""
 
 _WIRE = """struct_pack(linkURL := link_url, decriptionHTML := description, datePosted := date_posted,
-  images := images, title := title, dodgyScore := dodgy_score, datePostedReal := CAST(NULL AS VARCHAR),
+  images := images, title := title, dodgyScore := dodgy_score, datePostedReal := '/Date(' || epoch_ms(CAST(posted AS TIMESTAMP)) || ')/',
   phoneNumber := phone_number, price := price, saleArea := sale_area, shortTitle := short_title,
   category := category, datePostedParsed := date_posted_parsed, dodgyDescription := dodgy_description)"""
 
-_RSS_FOUND = f"""WITH {_listing(72)}, {_asked(72, 25, 'Error')}, {_DETAIL},
+_RSS_FOUND = f"""WITH {_listing(72)}, {_asked(72, 25, 'Error')}, {_DETAIL}, {_LANDED},
 linked AS (
   SELECT block, st, pos, link_url || CASE WHEN k % 5 = 0 THEN '?k=1&v=2' ELSE '' END AS link_url FROM listing),
 found AS (
@@ -128,7 +131,7 @@ found AS (
     CASE WHEN l.link_url IS NOT NULL THEN coalesce(d.parse_status, 'detail_missing') END AS parse_status
   FROM answered a
   LEFT JOIN linked l ON a.status = 'ok' AND a.block = l.block AND a.st = l.st
-  LEFT JOIN detail d ON l.link_url = d.link_url)"""
+  LEFT JOIN landed d ON l.link_url = d.link_url)"""
 
 _ARTICLE = r"""article AS (
   SELECT page_id, url,
@@ -168,7 +171,8 @@ _LOCATED = """located AS (
 shared AS (
   SELECT original_url, count(DISTINCT listing_id) AS n_listings FROM located GROUP BY original_url)"""
 _COUNTED = """counts AS (
-  SELECT l_partkey, l_linenumber, CAST(count(*) AS INTEGER) AS n FROM lineitem
+  SELECT l_partkey, l_linenumber,
+    CAST(count(*) * CASE WHEN l_partkey % 3 = 0 THEN 1234 ELSE 1 END AS INTEGER) AS n FROM lineitem
   WHERE l_partkey % 11 <> 0 GROUP BY 1, 2),
 images AS (
   SELECT p_partkey AS listing_id, CAST(line - 1 AS INTEGER) AS pos,
@@ -233,7 +237,7 @@ SELECT page_id, url AS link_url FROM searched WHERE contains(txt, 'the') AND con
 WHERE regexp_extract(url, '^https?://([^/?#:]+)', 1) LIKE 'blog.%'""",
     "posted_after": f"""WITH {_listing(144)}
 SELECT link_url, category, date_posted_parsed FROM listing
-WHERE n < 50 AND posted >= make_date(2000, CAST(substr(category, 1, 1) AS INTEGER) * 2, 15)""",
+WHERE posted >= make_date(2000, CAST(substr(category, 1, 1) AS INTEGER) * 2, 15)""",
     "summary_rows": f"""WITH {_listing(144)}
 SELECT {_HTML_URL} AS url, pos, link_url, short_title, date_text, date_posted_parsed, price, sale_area, category
 FROM listing""",
@@ -244,15 +248,22 @@ SELECT request_id, n_rows, status, status_title, status_description FROM answere
     "rss_links": f"""WITH {_listing(72)}
 SELECT {_RSS_URL} AS url, pos, link_url || CASE WHEN k % 5 = 0 THEN '?k=1&v=2' ELSE '' END AS link_url
 FROM listing""",
-    "detail_join": f"""WITH {_listing(144)}, {_DETAIL}
+    "detail_join": f"""WITH {_listing(144)}, {_DETAIL}, {_LANDED}
 SELECT {_HTML_URL} AS url, l.pos, l.link_url, d.title, d.date_posted, d.description,
   array_to_string(d.images, '|') AS images, CAST(len(d.images) AS INTEGER) AS n_images, d.phone_number,
   d.dodgy_score, d.dodgy_description, coalesce(d.parse_status, 'detail_missing') AS parse_status
-FROM listing l LEFT JOIN detail d ON l.link_url = d.link_url""",
+FROM listing l LEFT JOIN landed d ON l.link_url = d.link_url""",
     "html_search": f"""{_HTML_FOUND}
 SELECT request_id, status, pos, link_url, title, description, date_posted, array_to_string(images, '|') AS images,
   phone_number, dodgy_score, dodgy_description, price, sale_area, short_title, category, date_posted_parsed,
   parse_status FROM found""",
+    "html_search_after": f"""{_HTML_FOUND},
+since AS (SELECT *, status = 'ok' AND coalesce(posted >= DATE '2000-11-15', false) AS good FROM found)
+SELECT request_id, status, pos, link_url, title, description, dodgy_score, date_posted_parsed
+FROM since WHERE status <> 'ok' OR good
+UNION ALL
+SELECT request_id, 'empty', CAST(NULL AS INTEGER), NULL, 'No results returned, alter your search terms', '', 0, NULL
+FROM since WHERE status = 'ok' GROUP BY request_id HAVING NOT bool_or(good)""",
     "rss_search": f"""{_RSS_FOUND}
 SELECT request_id, status, pos, link_url, title, description, date_posted, array_to_string(images, '|') AS images,
   phone_number, dodgy_score, CAST(NULL AS VARCHAR) AS price, CAST(NULL AS VARCHAR) AS category, parse_status
@@ -264,7 +275,7 @@ SELECT request_id, CAST(to_json(list({_WIRE} ORDER BY pos)) AS VARCHAR) AS json
     "image_rows": f"WITH {_COUNTED} SELECT listing_id, pos, image_uri FROM images",
     "image_counts": f"WITH {_COUNTED} SELECT listing_id, pos, image_uri, match_count FROM counted",
     "image_lookup": f"""WITH {_COUNTED}
-SELECT listing_id, CAST(0 AS INTEGER) AS part, CAST(to_json([struct_pack(
+SELECT listing_id, CAST(to_json([struct_pack(
   craigslistInfoId := CAST(listing_id AS VARCHAR),
   tinEyeImageInfos := list(struct_pack(imageURI := image_uri, tinEyeImageCount := match_count) ORDER BY pos))])
   AS VARCHAR) AS json FROM counted GROUP BY listing_id""",
@@ -294,14 +305,25 @@ SELECT token, term FROM ranked WHERE r = 1""",
     "register_job": f"{_REGISTER_PAIRS} AND i.p_partkey % 2 = 1",
     "typed_sort_date": """SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS day,
   CASE WHEN o_orderkey % 7 = 0 THEN 'n/a ' ELSE ' ' END || CAST(floor(o_totalprice) AS BIGINT) || ' dollars' AS price,
-  o_orderpriority, strftime(o_orderdate, '%Y%m%d') AS sort_key FROM orders ORDER BY sort_key, o_orderkey""",
+  o_orderpriority, strftime(o_orderdate, '%Y%m%d') AS sort_key,
+  CAST(row_number() OVER (ORDER BY sort_key, o_orderkey) AS INTEGER) AS row_no FROM orders""",
     "typed_sort_numeric": """SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS day,
   CASE WHEN o_orderkey % 7 = 0 THEN 'n/a ' ELSE ' ' END || CAST(floor(o_totalprice) AS BIGINT) || ' dollars' AS price,
-  o_orderpriority, CASE WHEN o_orderkey % 7 = 0 THEN 0.0::DOUBLE ELSE floor(o_totalprice) END AS sort_key
-FROM orders ORDER BY sort_key DESC, o_orderkey DESC""",
+  o_orderpriority, CASE WHEN o_orderkey % 7 = 0 THEN 0.0::DOUBLE ELSE floor(o_totalprice) END AS sort_key,
+  CAST(row_number() OVER (ORDER BY sort_key DESC, o_orderkey DESC) AS INTEGER) AS row_no FROM orders""",
     "typed_sort_text": """SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS day,
   CASE WHEN o_orderkey % 7 = 0 THEN 'n/a ' ELSE ' ' END || CAST(floor(o_totalprice) AS BIGINT) || ' dollars' AS price,
-  o_orderpriority, lower(o_orderpriority) AS sort_key FROM orders ORDER BY sort_key, o_orderkey""",
+  o_orderpriority, lower(o_orderpriority) AS sort_key,
+  CAST(row_number() OVER (ORDER BY sort_key, o_orderkey) AS INTEGER) AS row_no FROM orders""",
+    "typed_sort_sniffed": """SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS day,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'n/a ' ELSE ' ' END || CAST(floor(o_totalprice) AS BIGINT) || ' dollars' AS price,
+  o_orderpriority, lower(CASE WHEN o_orderkey % 7 = 0 THEN 'n/a ' ELSE ' ' END
+    || CAST(floor(o_totalprice) AS BIGINT) || ' dollars') AS sort_key,
+  CAST(row_number() OVER (ORDER BY sort_key, o_orderkey) AS INTEGER) AS row_no FROM orders""",
+    "deep_page": """WITH ranked AS (
+  SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(row_number() OVER (
+    PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS row_no FROM orders)
+SELECT * FROM ranked WHERE row_no > 2000 AND row_no <= 2100""",
     "page_offset": """WITH ranked AS (
   SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(row_number() OVER (
     PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS row_no FROM orders)
@@ -345,12 +367,12 @@ delayed AS (
 SELECT link_url, delay_days, abs(delay_days - mean) AS delay_gap,
   round(abs(delay_days - mean) / deviation, 6) AS delay_score FROM delayed CROSS JOIN past""",
     "area_weight": f"""WITH {_listing(144)},
-weights AS (SELECT o_orderpriority, count(*) AS weight FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1)
+weights AS (SELECT o_orderpriority, count(*) AS weight FROM orders GROUP BY 1)
 SELECT link_url, sale_area, weight AS area_weight
 FROM listing LEFT JOIN weights ON sale_area = ' (' || o_orderpriority || ')'""",
     "watch_list": f"""WITH {_DETAIL},
-phones AS (SELECT DISTINCT '604555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone
-  FROM customer WHERE c_custkey % 3 = 0)
+phones AS (SELECT DISTINCT '604555' || lpad(CAST(c_custkey * 3 % 10000 AS VARCHAR), 4, '0') AS phone
+  FROM customer)
 SELECT link_url, phone_number, phone IS NOT NULL AS watched
 FROM detail LEFT JOIN phones ON phone_number = phone""",
 }

@@ -36,13 +36,12 @@ from fencewatch.operators.results import (
     summarise_result_pages,
     with_search_url,
 )
-from fencewatch.operators.tables import typed_sort, with_lookup_link
+from fencewatch.operators.tables import kind_of_column, typed_sort, with_lookup_link
 from fencewatch.plans.image_lookup import look_up_images
 from fencewatch.plans.register_job import match_reported_items
 from fencewatch.plans.search import newest_details, search_html, search_rss
 from fencewatch.settings import PhoneRule, SearchRules
 from fencewatch.sources.json_rows import object_fields, read_json_rows
-from fencewatch.sources.landed import spread
 from fencewatch.sources.register import read_register
 from fencewatch.sources.scratch import fresh_path, written
 from fencewatch.workload import render
@@ -55,7 +54,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
 def _joined(images: str = "images") -> Column:
@@ -93,14 +92,14 @@ def page_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C10, C21."""
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     number = advert.phone_number(F.col("text"), DOCUMENT_PHONES)
     return documents.select("doc_id", number.alias("phone_number"))
 
 
 def text_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C8, C12, F3 on plain documents."""
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").select(
         "doc_id",
         advert.whitespace_count(F.col("text")).alias("whitespace"),
         F.length(advert.description(F.col("text"))).alias("description_length"),
@@ -272,6 +271,21 @@ def html_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def html_search_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 in the HTML search: adverts since the theft, and a status row where none is left."""
+    listings = search_html(
+        render.requests(spark, sf_dir),
+        render.result_pages(spark, sf_dir),
+        render.detail_pages(spark, sf_dir),
+        YEAR,
+        HTML_RULES,
+        stolen_on=F.make_date(F.lit(YEAR), F.lit(11), F.lit(15)),
+    )
+    return listings.select(
+        "request_id", "status", "pos", "link_url", "title", "description", "dodgy_score", "date_posted_parsed"
+    )
+
+
 def rss_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole RSS search: A3, A4, B2, C7-C14, D4, D5, E3, H1."""
     listings = search_rss(
@@ -299,19 +313,12 @@ def rss_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listing_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing or status row as a wire object."""
-    # The time stamp is left to the date text here: engines write time stamps differently.
-    listings = _html_listings(spark, sf_dir).withColumn(
-        "date_posted_real", F.lit(None).cast("string")
-    )
-    return wire_json(listings, "request_id", "pos")
+    return wire_json(_html_listings(spark, sf_dir), "request_id", "pos")
 
 
 def response_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON array per request."""
-    listings = _html_listings(spark, sf_dir).withColumn(
-        "date_posted_real", F.lit(None).cast("string")
-    )
-    return response_json(listings)
+    return response_json(_html_listings(spark, sf_dir), HTML_RULES)
 
 
 # --- images -----------------------------------------------------------------------------------
@@ -439,6 +446,20 @@ def typed_sort_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_sort(_order_texts(spark, sf_dir), "o_orderpriority", "text", ["o_orderkey"])
 
 
+def typed_sort_sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 with the kind told from the second row."""
+    texts = _order_texts(spark, sf_dir)
+    kind = kind_of_column(texts, "price", ["o_orderkey"])
+    return typed_sort(texts, "price", kind, ["o_orderkey"])
+
+
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G6 far down: page 20 of every status."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    order = [F.col("o_totalprice").desc(), F.col("o_orderkey")]
+    return one_page_of_rows(orders, "o_orderstatus", order, page=20, page_size=100)
+
+
 def page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of 100 orders for every status, dearest first."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -490,14 +511,14 @@ def price_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J12."""
-    details = newest_details(render.detail_pages(spark, sf_dir), HTML_RULES)
+    details = newest_details(render.detail_pages(spark, sf_dir, some_missing=False), HTML_RULES)
     fields = ["title", "date_posted", "description", "images", "phone_number"]
     return signals.missing_fields(details, fields).select("link_url", "missing_fields")
 
 
 def signal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The basic score with named points added."""
-    details = newest_details(render.detail_pages(spark, sf_dir), HTML_RULES)
+    details = newest_details(render.detail_pages(spark, sf_dir, some_missing=False), HTML_RULES)
     basic = details.select(
         "link_url", "title", "date_posted", "phone_number", "dodgy_score"
     )
@@ -541,7 +562,7 @@ def area_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("area")).agg(
         F.count("*").alias("weight")
     )
-    return signals.area_weight(rows, weights.where("area <> '5-LOW'")).select(
+    return signals.area_weight(rows, weights).select(
         "link_url", "sale_area", "area_weight"
     )
 
@@ -549,10 +570,11 @@ def area_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of adverts on a list of numbers."""
     key = F.col("c_custkey")
-    phones = table(spark, sf_dir, "customer").where(key % 3 == 0).select(
-        F.concat(F.lit("(604) 555-"), F.lpad((key % 10000).cast("string"), 4, "0")).alias("phone_number")
+    number = F.lpad((key * 3 % 10000).cast("string"), 4, "0")
+    phones = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("(604) 555-"), number).alias("phone_number")
     )
-    details = newest_details(render.detail_pages(spark, sf_dir), HTML_RULES)
+    details = newest_details(render.detail_pages(spark, sf_dir, some_missing=False), HTML_RULES)
     return signals.on_watch_list(details, phones).select("link_url", "phone_number", "watched")
 
 
@@ -575,6 +597,7 @@ QUERIES: dict[str, Query] = {
     "rss_links": rss_links,
     "detail_join": detail_join,
     "html_search": html_search,
+    "html_search_after": html_search_after,
     "rss_search": rss_search,
     "listing_json": listing_json,
     "response_array": response_array,
@@ -593,7 +616,9 @@ QUERIES: dict[str, Query] = {
     "typed_sort_date": typed_sort_date,
     "typed_sort_numeric": typed_sort_numeric,
     "typed_sort_text": typed_sort_text,
+    "typed_sort_sniffed": typed_sort_sniffed,
     "page_offset": page_offset,
+    "deep_page": deep_page,
     "json_rows": json_rows,
     "json_fields": json_fields,
     "phone_reuse": phone_reuse,

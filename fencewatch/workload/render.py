@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from fencewatch.functions.web import search_url
 from fencewatch.settings import HTML_SEARCH, RSS_SEARCH, DetailPageSelectors, Selector
-from fencewatch.sources.landed import spread
 
 SITE = "example.org"
 YEAR = 2000
@@ -58,7 +57,7 @@ _ORDER_COLUMNS = (
 def order_listings(spark: SparkSession, sf_dir: str, block_size: int = HTML_BLOCK) -> DataFrame:
     """The columns that a result row of an order shows."""
     key = F.col("o_orderkey")
-    orders = spread(table(spark, sf_dir, "orders").select(*_ORDER_COLUMNS)).withColumn(
+    orders = table(spark, sf_dir, "orders").select(*_ORDER_COLUMNS).withColumn(
         "block", F.expr(f"o_orderkey div {block_size}")
     )
     date_text = F.date_format("o_orderdate", " MMM dd")
@@ -77,23 +76,27 @@ def order_listings(spark: SparkSession, sf_dir: str, block_size: int = HTML_BLOC
 
 
 def result_row() -> Column:
-    area = F.concat(F.lit('<font size="-1">'), "area", F.lit("</font>"))
+    """One result row: own markup with the elements that are read, attributes quoted or bare."""
+    key = F.col("o_orderkey")
+    start = F.when(key % 4 == 1, "<p class=row>").when(key % 4 == 2, "<P CLASS='row'>").otherwise('<p class="row">')
+    link = F.when(key % 6 == 2, F.concat(F.lit("<a href="), "link_url", F.lit(">"))).otherwise(
+        F.concat(F.lit('<a title="t" href="'), "link_url", F.lit('">'))
+    )
+    area = F.concat(F.lit("<font color=gray>"), "area", F.lit("</font>"))
     return F.concat(
-        F.lit('<p class="row" data-latitude="" data-longitude="">\n<span class="ih" id="images:'),
-        _text(F.col("o_orderkey")),
-        F.lit('.jpg">&nbsp;</span>\n<span class="itemdate">'),
+        start,
+        F.lit('\n  <span class="itemdate">'),
         "date_text",
-        F.lit('</span>\n<span class="itemsep"> - </span>\n<a href="'),
-        "link_url",
-        F.lit('">'),
+        F.lit("</span>\n  "),
+        link,
         "short",
-        F.lit('</a>\n<span class="itemsep"> - </span>\n<span class="itemph"></span>\n<span class="itempp"> '),
+        F.lit('</a>\n  <span class="itempp">\t'),
         "price",
-        F.lit('</span>\n<span class="itempn">'),
+        F.lit('</span><span class="itempn">'),
         F.coalesce(area, F.lit("")),
-        F.lit('</span>\n<span class="itemcg" title="c"> <small class="gc"><a href="/c/">'),
+        F.lit('</span>\n  <span class=itemcg><i><a href="/c/">'),
         "category",
-        F.lit('</a></small></span>\n<span class="itempx"> <span class="p"> pic</span></span>\n<br class="c">\n</p>\n'),
+        F.lit("</a></i></span>\n</p>\n"),
     )
 
 
@@ -189,14 +192,15 @@ def detail_body() -> Column:
     script = F.concat(F.lit("<script>var imgList = ["), listed, F.lit("];</script>"))
     return F.concat(
         F.lit("\n<b>For sale</b>\t"),
+        _when(key % 8 == 3, "<Section>more </SECTION>"),
         F.repeat(F.lit("word "), (key % 200).cast("int")),
         phone,
         _when(key % 12 != 11, script),
     )
 
 
-def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(url, html, fetched_at)``: adverts of orders, some missing, some landed twice."""
+def detail_pages(spark: SparkSession, sf_dir: str, some_missing: bool = True) -> DataFrame:
+    """``(url, html, fetched_at)``: adverts of orders, some landed twice, some not unless asked for all."""
     key = F.col("o_orderkey")
     block = F.expr(f"o_orderkey div {HTML_BLOCK}")
     title = F.concat(
@@ -205,8 +209,9 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     time = F.concat(F.lit("<time>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</time>"))
     section = F.concat(F.lit('<section class="userbody">'), detail_body(), F.lit("</section>"))
     snapshots = F.when(key % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
-    orders = orders.where(key % 97 != 5)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    if some_missing:
+        orders = orders.where(key % 97 != 5)
     return orders.withColumn("fetched_at", F.explode(snapshots)).select(
         order_link(key, block).alias("url"),
         F.concat(
@@ -240,12 +245,19 @@ def count_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n")
     )
     part = F.col("l_partkey")
+    # Some counts are large enough to be written with digit groups.
+    stated = F.col("n") * F.when(part % 3 == 0, 1234).otherwise(1)
     return counts.select(
         F.concat(
             F.lit("http://images.craigslist.org/p"), _text(part), F.lit("-"), _text(F.col("l_linenumber")), F.lit(".jpg")
         ).alias("image_uri"),
         F.when(part % 11 == 0, 503).otherwise(200).alias("http_status"),
-        F.concat(F.lit('<div>\n<h2><span>'), _text(F.col("n")), F.lit("</span> Results</h2></div>")).alias("html"),
+        F.concat(
+            F.lit("<div>\n<h2><span>"),
+            F.format_number(stated, 0),
+            F.when(stated == 1, "</span> Result").otherwise("</span> Results"),
+            F.lit("</h2></div>"),
+        ).alias("html"),
     )
 
 
@@ -275,7 +287,7 @@ def location_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(f'.jpg" title="x">x</a>\n<a href="http://{site}/" class="url">{site}</a></p>\n</div>\n'),
         )
 
-    return spread(table(spark, sf_dir, "lineitem")).select(
+    return table(spark, sf_dir, "lineitem").select(
         line_image_uri().alias("image_uri"),
         F.lit(200).alias("http_status"),
         F.concat(
@@ -315,7 +327,7 @@ def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Wheel size": blank,
         "Seat style": blank,
     }
-    return spread(table(spark, sf_dir, "part")).select(*[c.alias(n) for n, c in columns.items()])
+    return table(spark, sf_dir, "part").select(*[c.alias(n) for n, c in columns.items()])
 
 
 MAKERS = ("schwinn", "specialized", "cannondale", "norco", "giant", "trek")
@@ -336,7 +348,7 @@ def part_adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(listing_id, text)``: an advert per part; makes are misspelt now and then."""
     key = F.col("p_partkey")
     colours = F.array(*[F.lit(c) for c in ("black", "blue", "brown and black", "silver red", "xyz")])
-    return spread(table(spark, sf_dir, "part")).select(
+    return table(spark, sf_dir, "part").select(
         key.alias("listing_id"),
         F.concat_ws(
             " ", F.lit("Selling my"), misspelt(maker()), F.lit("co"), "p_name",

@@ -59,12 +59,13 @@ def compare(spark: SparkSession, connection, name: str, sf_dir: str) -> str | No
 
 
 def main() -> int:
-    sf_dir, names = sys.argv[1], sys.argv[2:] or list(registered.queries())
+    sf_dir, names = sys.argv[1], sys.argv[2:] or list(registered.oracle_sql())
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", "/tmp/checkpoints")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

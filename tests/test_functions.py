@@ -1,5 +1,6 @@
-from datetime import date, datetime
+from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from fencewatch.functions import advert, html, score, tables, web
@@ -154,48 +155,52 @@ def test_strict_phone_number(many):
     ]
 
 
-def test_posted_at(many):
+def test_posted_on(many):
     texts = [" Dec 11", " Dec 11 2012", "Dec 11", " Dec 1", " Foo 11", "", None, " Feb 29", " Feb 30"]
-    got = many(texts, lambda t: advert.posted_at(t, 2012))
+    got = many(texts, lambda t: advert.posted_on(t, 2012))
     assert got == [
-        datetime(2012, 12, 11),
-        datetime(2012, 12, 11),
+        date(2012, 12, 11),
+        date(2012, 12, 11),
         None,
         None,
         None,
         None,
         None,
-        datetime(2012, 2, 29),
+        date(2012, 2, 29),
         None,
     ]
-    assert many([" Feb 29"], lambda t: advert.posted_at(t, 2013)) == [None]
-    shown = many([" Dec 11"], lambda t: advert.posted_text(advert.posted_at(t, 2012)))
+    assert many([" Feb 29"], lambda t: advert.posted_on(t, 2013)) == [None]
+    shown = many([" Dec 11"], lambda t: advert.posted_text(advert.posted_on(t, 2012)))
     assert shown == ["11 Dec 2012 00:00:00"]
 
 
-def test_posted_at_rolls_back_over_new_year(many):
+def test_posted_on_rolls_back_over_new_year(many):
     crawl = F.lit(date(2013, 1, 3))
-    got = many([" Dec 30", " Jan 02"], lambda t: advert.posted_at(t, 2013, crawl))
-    assert got == [datetime(2012, 12, 30), datetime(2013, 1, 2)]
+    got = many([" Dec 30", " Jan 02"], lambda t: advert.posted_on(t, 2013, crawl))
+    assert got == [date(2012, 12, 30), date(2013, 1, 2)]
 
 
-def test_posted_at_is_utc_in_any_session_zone(spark):
+@pytest.mark.parametrize("zone", ["UTC", "America/Vancouver", "Asia/Tokyo", "America/Sao_Paulo"])
+def test_posted_on_is_the_day_as_written_in_any_session_zone(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
     try:
-        spark.conf.set("spark.sql.session.timeZone", "America/Vancouver")
-        frame = spark.createDataFrame([(" Dec 11",)], "t string")
-        seconds = frame.select(F.unix_seconds(advert.posted_at(F.col("t"), 2012))).first()[0]
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        days = [(date(2012, 1, 1) + timedelta(days=n)) for n in range(366)]
+        frame = spark.createDataFrame([(d, d.strftime(" %b %d")) for d in days], "d date, t string")
+        day = advert.posted_on(F.col("t"), 2012)
+        rows = frame.select("d", day.alias("on"), advert.posted_text(day).alias("text")).collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
-    assert seconds == 1355184000
+    assert [r["on"] for r in rows] == days
+    assert [r["text"] for r in rows] == [d.strftime("%d %b %Y 00:00:00") for d in days]
 
 
 def test_price_amount(many):
     from decimal import Decimal
 
-    texts = ["$6595", "$1,200.50", "free", "", None]
+    texts = ["$1450", "$1,200.50", "free", "", None]
     assert many(texts, advert.price_amount) == [
-        Decimal("6595.00"),
+        Decimal("1450.00"),
         Decimal("1200.50"),
         None,
         None,
@@ -319,3 +324,14 @@ def test_row_flag(spark):
     flag = tables.row_flag(F.col("k"), "err", F.col("v"), 5.0)
     rows = frame.select("i", flag.alias("f")).orderBy("i").collect()
     assert [r.f for r in rows] == ["warning", None, None]
+
+
+def test_a_body_may_nest_its_tag_in_any_case(many):
+    page = '<section class="userbody">a<Section>b</SECTION>c</section>d'
+    selector = HTML_SEARCH.detail.body
+    assert many([page], lambda t: found(t, selector)) == ["abc"]
+
+
+def test_bare_attribute_values(many):
+    tags = ["<a href=/x>", "<a href='/x y'>", '<a title=q href="">', "<a hrefs=/x>", "<a>"]
+    assert many(tags, lambda t: html.attribute_of(t, "href")) == ["/x", "/x y", "", None, None]

@@ -67,16 +67,16 @@ def test_newest_answer_counts(spark):
     assert [r.match_count for r in images.count_matches(wanted, pages).collect()] == [7]
 
 
-def test_long_lists_continue_in_parts_and_lose_nothing(spark):
+def test_long_lists_give_one_answer_and_lose_nothing(spark):
     counted = spark.range(2500).select(
         F.lit("x").alias("listing_id"),
         F.col("id").cast("int").alias("pos"),
         F.col("id").cast("string").alias("image_uri"),
         F.lit(0).alias("match_count"),
     )
-    rows = image_response_json(images.nested_image_results(counted)).orderBy("part").collect()
+    rows = image_response_json(images.nested_image_results(counted)).collect()
     seen = [i["imageURI"] for r in rows for i in json.loads(r.json)[0]["tinEyeImageInfos"]]
-    assert [r.part for r in rows] == [0, 1, 2]
+    assert len(rows) == 1
     assert seen == [str(i) for i in range(2500)]
 
 
@@ -105,3 +105,8 @@ def test_listing_images(spark):
     )
     rows = images.listing_images(listings).orderBy("pos").collect()
     assert [(r.listing_id, r.pos, r.image_uri) for r in rows] == [("u", 0, "a"), ("u", 1, "b")]
+
+
+def test_counts_of_one_and_of_thousands(many):
+    pages = ["<h2><span>1</span> Result</h2>", "<h2> <span>1,234,567</span> Results", "<h2><span>x</span> Results"]
+    assert many(pages, images.match_count) == [1, 1234567, None]

@@ -28,7 +28,7 @@ def test_all_columns_are_text(spark, write):
     assert frame.columns == REGISTER_HEADER
     assert {kind for _, kind in frame.dtypes} == {"string"}
     rows = frame.orderBy("Occurence Number").collect()
-    assert rows[3]["Model"] == 'COVE "HUSTLER"'
+    assert rows[3]["Model"] == 'RIDGE "LANTERN"'
     assert rows[1]["Model"] is None and rows[1]["Seat style"] is None
 
 
@@ -36,9 +36,9 @@ def test_year_filter_and_projection(spark, write):
     frame = register.reported_in(read_register(spark, write(HEADER, *REGISTER_LINES)), "2013")
     rows = register.make_model_colour(frame).orderBy("make").collect()
     assert [tuple(r) for r in rows] == [
-        ("OTHER", 'COVE "HUSTLER"', "BGE"),
-        ("SCHWINN", None, "BLU"),
-        ("TREK", "1.2 ALPHA", "BLK"),
+        ("FJORD", "7.4 DELTA", "BLK"),
+        ("HALBERD", None, "BLU"),
+        ("OTHER", 'RIDGE "LANTERN"', "BGE"),
     ]
 
 
@@ -116,8 +116,8 @@ def near(a, b):
 def test_near_spellings_against_brute_force(spark):
     dice = random.Random(7)
     words = {"".join(dice.choice("abc") for _ in range(dice.randint(1, 7))) for _ in range(300)}
-    words = sorted(words | {"schwinn", "schwin", "specialized", "specialised", "trek", "tek"})
-    known = words[::7] + ["schwinn", "specialized", "trek"]
+    words = sorted(words | {"halberd", "halbrd", "specialized", "specialised", "oak", "oa"})
+    known = words[::7] + ["halberd", "specialized", "oak"]
     known = sorted(set(known))
     got = matching.near_spellings(
         spark.createDataFrame([(w,) for w in words], "token string"),
@@ -125,15 +125,15 @@ def test_near_spellings_against_brute_force(spark):
     )
     pairs = {(r.term, r.token) for r in got.collect()}
     assert pairs == {(k, w) for k in known for w in words if near(k, w)}
-    assert ("schwinn", "schwin") in pairs and ("specialized", "specialised") in pairs
-    assert ("trek", "tek") not in pairs
+    assert ("halberd", "halbrd") in pairs and ("specialized", "specialised") in pairs
+    assert ("oak", "oa") not in pairs
 
 
 def test_canonical_word_prefers_the_exact_one(spark):
-    vocabulary = spark.createDataFrame([("treks",), ("trek",), ("zzzz",)], "token string")
-    known = spark.createDataFrame([("trek",), ("tres",), ("treks",)], "term string")
+    vocabulary = spark.createDataFrame([("fjords",), ("fjord",), ("zzzz",)], "token string")
+    known = spark.createDataFrame([("fjord",), ("fjorc",), ("fjords",)], "term string")
     rows = matching.canonical_words(vocabulary, known).collect()
-    assert {(r.token, r.term) for r in rows} == {("treks", "treks"), ("trek", "trek")}
+    assert {(r.token, r.term) for r in rows} == {("fjords", "fjords"), ("fjord", "fjord")}
 
 
 @pytest.mark.parametrize("fuzzy", [False, True])
@@ -168,10 +168,10 @@ def test_register_job(spark, write):
     frame = read_register(spark, write(HEADER, *REGISTER_LINES))
     listings = spark.createDataFrame(
         [
-            ("a", "Blue schwin bike"),
-            ("b", "schwinn bike, red"),
-            ("c", "Trek 1.2 ALPHA in black"),
-            ("d", "white schwinn"),
+            ("a", "Blue halbrd bike"),
+            ("b", "halberd bike, red"),
+            ("c", "Fjord 7.4 DELTA in black"),
+            ("d", "white halberd"),
         ],
         "listing_id string, text string",
     )
