@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fencewatch.operators.matching import texts_with_all_terms, words
-from fencewatch.settings import COLOUR_CODES
+from fencewatch.settings import COLOUR_CODES, COMPANY_SUFFIXES, PLACEHOLDER_MAKES
 
 YEAR = "Report Year"
 MAKE = "Manufacturer's name"
@@ -46,19 +46,29 @@ def colour_names(code: Column, codes: Mapping[str, str] = COLOUR_CODES) -> Colum
     return F.when(F.length(upper) > 0, named)
 
 
-def search_terms(make: Column, model: Column, color: Column) -> Column:
-    """All words a matching advert has to contain."""
-    colours = F.coalesce(colour_names(color), F.array().cast("array<string>"))
-    named = words(F.concat_ws(" ", make, model))
-    return F.array_distinct(F.concat(named, colours))
+def make_words(make: Column) -> Column:
+    """Words of a maker's name that say something: no placeholder, no company suffix."""
+    idle = F.array(*[F.lit(word) for word in (*PLACEHOLDER_MAKES, *COMPANY_SUFFIXES)])
+    return F.array_except(words(make), idle)
 
 
-def register_items(register: DataFrame, id_column: str) -> DataFrame:
+def search_terms(
+    make: Column, model: Column, color: Column, codes: Mapping[str, str] = COLOUR_CODES
+) -> Column:
+    """All words a matching advert has to contain; a colour code without a name asks for nothing."""
+    known = F.array(*[F.lit(name) for name in dict.fromkeys(codes.values())])
+    named = F.coalesce(colour_names(color, codes), F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(make_words(make), words(model), F.array_intersect(named, known)))
+
+
+def register_items(
+    register: DataFrame, id_column: str, codes: Mapping[str, str] = COLOUR_CODES
+) -> DataFrame:
     """Register rows as ``(item_id, terms, make_terms)`` for :func:`match_register`."""
     return make_model_colour(register, id_column).select(
         F.col(id_column).alias("item_id"),
-        search_terms(F.col("make"), F.col("model"), F.col("color")).alias("terms"),
-        words(F.col("make")).alias("make_terms"),
+        search_terms(F.col("make"), F.col("model"), F.col("color"), codes).alias("terms"),
+        make_words(F.col("make")).alias("make_terms"),
     )
 
 

@@ -66,7 +66,18 @@ COLOUR_CODES = {
     "SIL": "silver",
     "WHI": "white",
     "YEL": "yellow",
+    "GRN": "green",
+    "ORG": "orange",
+    "PLE": "purple",
+    "PNK": "pink",
+    "GLD": "gold",
+    "CRM": "cream",
+    "TAN": "tan",
+    "MAR": "maroon",
 }
+#: What registers write for a maker nobody knows, and what stands behind makers' names.
+PLACEHOLDER_MAKES = ("other", "unknown", "none", "unk")
+COMPANY_SUFFIXES = ("co", "inc", "ltd", "corp", "llc")
 
 
 @dataclass(frozen=True)

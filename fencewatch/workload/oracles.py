@@ -191,7 +191,7 @@ _REGISTER_PAIRS = f"""WITH {_PART_ADVERT},
 item AS (
   SELECT p_partkey, {_MAKER} AS make,
     list_concat(CASE WHEN p_partkey % 9 <> 0 THEN string_split(p_name, ' ') ELSE [] END,
-      CASE WHEN p_partkey % 8 <> 0 THEN {_COLOUR_LIST} ELSE [] END) AS terms
+      CASE WHEN p_partkey % 8 <> 0 AND p_partkey % 5 <> 4 THEN {_COLOUR_LIST} ELSE [] END) AS terms
   FROM part)
 SELECT CAST(i.p_partkey AS VARCHAR) AS item_id, a.p_partkey AS listing_id
 FROM item i JOIN advert a ON i.p_partkey // 4 = a.p_partkey // 4
@@ -200,6 +200,19 @@ WHERE list_has_all(a.tokens, i.terms)
 
 _DOCUMENT_PHONE = f"numbered AS (SELECT doc_id, {_phone('text', '743', '771')} AS phone_number FROM documents)"
 
+_WEIGHTS = r"""worded AS (
+  SELECT doc_id, list_distinct(list_filter(
+    regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{Nd}]+'), lambda w: w <> '')) AS words FROM documents),
+labelled AS (
+  SELECT words, toxic AS bad FROM worded JOIN labels USING (doc_id) WHERE toxic IS NOT NULL),
+totals AS (SELECT coalesce(sum(bad), 0) AS bad, coalesce(sum(1 - bad), 0) AS good FROM labelled),
+per_word AS (
+  SELECT word, CAST(sum(bad) AS BIGINT) AS n_bad, CAST(sum(1 - bad) AS BIGINT) AS n_good
+  FROM (SELECT unnest(words) AS word, bad FROM labelled) GROUP BY word),
+weights AS (
+  SELECT word, n_bad, n_good, CAST(round(ln((n_bad + 1) / (totals.bad + 2)) - ln((n_good + 1) / (totals.good + 2)), 6)
+    AS DECIMAL(12, 6)) AS weight FROM per_word CROSS JOIN totals)"""
+
 ORACLES: dict[str, str] = {
     "page_score": rf"""WITH {_ARTICLE},
 measured AS (SELECT *, CAST(len(regexp_extract_all(body, '{_WS}')) AS INTEGER) AS ws FROM article)
@@ -348,17 +361,41 @@ FROM listing JOIN known USING (category)""",
 SELECT link_url, CAST((title IS NULL)::INTEGER + (date_posted IS NULL)::INTEGER + (description IS NULL)::INTEGER
   + (images IS NULL)::INTEGER + (phone_number IS NULL OR phone_number = '12345678')::INTEGER AS INTEGER)
   AS missing_fields FROM detail""",
-    "signal_score": f"""WITH {_DETAIL},
-known AS (
-  SELECT *, nullif(phone_number, '12345678') AS known_phone,
-    CAST(20 * ((title IS NULL)::INTEGER + (date_posted IS NULL)::INTEGER
-      + (phone_number IS NULL OR phone_number = '12345678')::INTEGER) AS INTEGER) AS missing_points
-  FROM detail),
+    "word_weights": f"""WITH {_WEIGHTS}
+SELECT word, n_bad, n_good, CAST(weight AS DOUBLE) AS weight FROM weights""",
+    "word_score": f"""WITH {_WEIGHTS}
+SELECT d.doc_id, CAST(coalesce(sum(weight), 0) AS DOUBLE) AS word_score
+FROM documents d LEFT JOIN (SELECT doc_id, unnest(words) AS word FROM worded) w ON d.doc_id = w.doc_id
+  LEFT JOIN weights USING (word) GROUP BY d.doc_id""",
+    "signal_score": f"""WITH {_listing(144)}, {_DETAIL}, {_LOCATED}, {_COUNTED},
+sharing AS (
+  SELECT listing_id, max(n_listings) AS shared_by FROM located JOIN shared USING (original_url) GROUP BY listing_id),
+stock AS (
+  SELECT listing_id, count(*) FILTER (WHERE match_count > 0) AS stock_images FROM counted GROUP BY listing_id),
+past AS (SELECT avg(l_quantity) AS mean, stddev_pop(l_quantity) AS deviation FROM lineitem),
+phones AS (SELECT DISTINCT '604555' || lpad(CAST(c_custkey * 3 % 10000 AS VARCHAR), 4, '0') AS phone FROM customer),
+basic AS (
+  SELECT l.k, l.block, l.st, l.link_url, l.sale_area, d.title, d.date_posted, d.phone_number, d.dodgy_score,
+    nullif(d.phone_number, '12345678') AS known_phone,
+    TRY_CAST(replace(l.price, '$', '') AS DOUBLE) AS amount,
+    date_diff('day', make_date(2000, CAST(substr(l.category, 1, 1) AS INTEGER) * 2, 15), l.posted) AS delay_days
+  FROM listing l JOIN detail d ON l.link_url = d.link_url),
 pointed AS (
-  SELECT *, CASE WHEN known_phone IS NOT NULL AND count(*) OVER (PARTITION BY known_phone) > 1
-    THEN 100 ELSE 0 END AS phone_points FROM known)
-SELECT link_url, dodgy_score, missing_points, phone_points,
-  CAST(dodgy_score + missing_points + phone_points AS INTEGER) AS total_score FROM pointed""",
+  SELECT link_url, dodgy_score,
+    CAST(20 * ((title IS NULL)::INTEGER + (date_posted IS NULL)::INTEGER
+      + (phone_number IS NULL OR phone_number = '12345678')::INTEGER) AS INTEGER) AS missing_points,
+    CASE WHEN known_phone IS NOT NULL AND count(*) OVER (PARTITION BY known_phone) > 1 THEN 100 ELSE 0 END AS phone_points,
+    CASE WHEN amount / (sum(amount) OVER w / count(amount) OVER w) < 0.5 THEN 80 ELSE 0 END AS price_points,
+    CASE WHEN abs(delay_days - mean) / deviation > 1 THEN 50 ELSE 0 END AS delay_points,
+    CASE WHEN sale_area IS NOT NULL THEN 10 ELSE 0 END AS area_points,
+    CASE WHEN phone IS NOT NULL THEN 200 ELSE 0 END AS watched_points,
+    CASE WHEN shared_by > 1 THEN 60 ELSE 0 END AS shared_points,
+    CAST(15 * coalesce(stock_images, 0) AS INTEGER) AS stock_points
+  FROM basic CROSS JOIN past LEFT JOIN phones ON phone_number = phone
+    LEFT JOIN sharing s ON s.listing_id = k LEFT JOIN stock t ON t.listing_id = k
+  WINDOW w AS (PARTITION BY block, st))
+SELECT *, CAST(dodgy_score + missing_points + phone_points + price_points + delay_points + area_points
+  + watched_points + shared_points + stock_points AS INTEGER) AS total_score FROM pointed""",
     "delay_gap": f"""WITH {_listing(144)},
 past AS (SELECT avg(l_quantity) AS mean, stddev_pop(l_quantity) AS deviation FROM lineitem),
 delayed AS (

@@ -15,6 +15,7 @@ from fencewatch.functions import advert, tables, web
 from fencewatch.functions.score import text_points
 from fencewatch.operators import images as image_ops
 from fencewatch.operators import matching, signals
+from fencewatch.operators import words as word_ops
 from fencewatch.operators.details import join_details, read_details
 from fencewatch.operators.filters import adverts_with_terms
 from fencewatch.operators.feeds import feed_links, summarise_feeds
@@ -171,9 +172,7 @@ def city_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posted_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1, C1 on result rows, with a theft date per category."""
     rows = result_rows(render.result_pages(spark, sf_dir), YEAR, HTML_RULES)
-    month = F.substring("category", 1, 1).cast("int") * 2
-    stolen = F.make_date(F.lit(YEAR), month, F.lit(15))
-    recent = signals.posted_after(rows, stolen)
+    recent = signals.posted_after(rows, _stolen_by_category())
     return recent.select("link_url", "category", "date_posted_parsed")
 
 
@@ -516,41 +515,78 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.missing_fields(details, fields).select("link_url", "missing_fields")
 
 
+def word_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the words of labelled texts say."""
+    texts, labels = _labelled_texts(spark, sf_dir)
+    weights = word_ops.word_weights(texts, labels)
+    return weights.withColumn("weight", F.col("weight").cast("double"))
+
+
+def word_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts scored by the words learnt."""
+    texts, labels = _labelled_texts(spark, sf_dir)
+    weights = written(word_ops.word_weights(texts, labels), "word-weights")
+    return word_ops.word_score(texts, weights).withColumnRenamed("text_id", "doc_id")
+
+
+def _labelled_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("text_id"), F.col("toxic").alias("bad"))
+    return texts, labels
+
+
+def _stolen_by_category() -> Column:
+    return F.make_date(F.lit(YEAR), F.substring("category", 1, 1).cast("int") * 2, F.lit(15))
+
+
+def _past_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("delay_days"))
+
+
+def _area_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("area"))
+    return areas.agg(F.count("*").alias("weight"))
+
+
 def signal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The basic score with named points added."""
+    """The basic score, each signal's points, and the total."""
+    rows = result_rows(render.result_pages(spark, sf_dir), YEAR, _all_rows())
     details = newest_details(render.detail_pages(spark, sf_dir, some_missing=False), HTML_RULES)
-    basic = details.select(
-        "link_url", "title", "date_posted", "phone_number", "dodgy_score"
+    basic = rows.select("url", "link_url", "price", "sale_area", "category", "date_posted_real").join(
+        details.select("link_url", "title", "date_posted", "phone_number", "dodgy_score"), "link_url"
     )
-    reused = signals.phone_reuse(
-        signals.missing_fields(
-            written(basic, "basic-scores"), ["title", "date_posted", "phone_number"]
-        )
-    )
-    scored = signals.combine_signals(
-        reused,
-        {
-            "missing": F.col("missing_fields") * 20,
-            "phone": F.when(F.col("phone_adverts") > 1, F.lit(100)),
-        },
-    )
-    points = F.col("signal_points")
-    return scored.select(
-        "link_url",
-        "dodgy_score",
-        points["missing"].alias("missing_points"),
-        points["phone"].alias("phone_points"),
-        "total_score",
+    key = F.regexp_extract("link_url", r"/(\d+)\.html$", 1).cast("long")
+    listings = written(basic.withColumn("listing_id", key), "basic-scores")
+    listings = signals.missing_fields(listings, ["title", "date_posted", "phone_number"])
+    listings = signals.phone_reuse(listings)
+    listings = signals.price_outlier(listings, "url")
+    listings = signals.delay_gap(listings, _past_delays(spark, sf_dir), _stolen_by_category())
+    listings = signals.area_weight(listings, _area_weights(spark, sf_dir))
+    listings = signals.on_watch_list(listings, _watched_phones(spark, sf_dir))
+    listings = listings.join(shared_images(spark, sf_dir), "listing_id", "left")
+    counted = image_ops.count_matches(
+        image_ops.image_rows(render.image_lookups(spark, sf_dir)), render.count_pages(spark, sf_dir)
     )
+    listings = signals.stock_images(listings, counted, "listing_id")
+    names = {
+        "missing": F.col("missing_fields") * 20,
+        "phone": F.when(F.col("phone_adverts") > 1, 100),
+        "price": F.when(F.col("price_ratio") < 0.5, 80),
+        "delay": F.when(F.col("delay_score") > 1, 50),
+        "area": F.when(F.col("area_weight") > 0, 10),
+        "watched": F.when(F.col("watched"), 200),
+        "shared": F.when(F.col("shared_by") > 1, 60),
+        "stock": F.col("stock_images") * 15,
+    }
+    scored = signals.combine_signals(listings, names)
+    points = [F.col("signal_points")[name].alias(f"{name}_points") for name in names]
+    return scored.select("link_url", "dodgy_score", *points, "total_score")
 
 
 def delay_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days from theft to advert against past delays."""
     rows = result_rows(render.result_pages(spark, sf_dir), YEAR, _all_rows())
-    month = F.substring("category", 1, 1).cast("int") * 2
-    stolen = F.make_date(F.lit(YEAR), month, F.lit(15))
-    past = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("delay_days"))
-    gaps = signals.delay_gap(rows, past, stolen)
+    gaps = signals.delay_gap(rows, _past_delays(spark, sf_dir), _stolen_by_category())
     return gaps.select(
         "link_url", "delay_days", "delay_gap", F.round("delay_score", 6).alias("delay_score")
     )
@@ -559,21 +595,21 @@ def delay_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def area_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J13."""
     rows = result_rows(render.result_pages(spark, sf_dir), YEAR, _all_rows())
-    weights = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("area")).agg(
-        F.count("*").alias("weight")
-    )
-    return signals.area_weight(rows, weights).select(
+    return signals.area_weight(rows, _area_weights(spark, sf_dir)).select(
         "link_url", "sale_area", "area_weight"
     )
 
 
-def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of adverts on a list of numbers."""
-    key = F.col("c_custkey")
-    number = F.lpad((key * 3 % 10000).cast("string"), 4, "0")
-    phones = table(spark, sf_dir, "customer").select(
+def _watched_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.lpad((F.col("c_custkey") * 3 % 10000).cast("string"), 4, "0")
+    return table(spark, sf_dir, "customer").select(
         F.concat(F.lit("(604) 555-"), number).alias("phone_number")
     )
+
+
+def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of adverts on a list of numbers."""
+    phones = _watched_phones(spark, sf_dir)
     details = newest_details(render.detail_pages(spark, sf_dir, some_missing=False), HTML_RULES)
     return signals.on_watch_list(details, phones).select("link_url", "phone_number", "watched")
 
@@ -625,6 +661,8 @@ QUERIES: dict[str, Query] = {
     "price_outlier": price_outlier,
     "price_known": price_known,
     "missing_fields": missing_fields,
+    "word_weights": word_weights,
+    "word_score": word_score,
     "signal_score": signal_score,
     "delay_gap": delay_gap,
     "area_weight": area_weight,

@@ -179,3 +179,12 @@ def test_register_job(spark, write):
     assert {(r.item_id, r.listing_id) for r in rows} == {("3", "a"), ("5", "c")}
     exact = match_reported_items(frame, listings, 2013, misspelt_makes=False).collect()
     assert {(r.item_id, r.listing_id) for r in exact} == {("5", "c")}
+
+
+def test_what_an_advert_has_to_say(spark):
+    rows = [("OTHER", "RIDGE", "BLU"), ("Halbrd CO.", None, "GRN"), ("Oak", "7", "XYZRED"), (None, None, None)]
+    frame = spark.createDataFrame(rows, "make string, model string, color string")
+    terms = frame.select(register.search_terms(F.col("make"), F.col("model"), F.col("color"))).collect()
+    assert [sorted(r[0]) for r in terms] == [["blue", "ridge"], ["green", "halbrd"], ["7", "oak", "red"], []]
+    own = frame.limit(3).select(register.search_terms(F.col("make"), F.col("model"), F.col("color"), {"XYZ": "teal"}))
+    assert sorted(own.collect()[2][0]) == ["7", "oak", "teal"]
