@@ -3,7 +3,9 @@
 Vectors are projected at random to a few dimensions, shifted, and ordered by their place on a Hilbert
 curve; each of several curves has its own projection and shift. Spark range-partitions the curves, a
 running count turns the order into blocks of equal size, and a query is compared in full precision with
-the vectors of its own and the two neighbouring blocks. The windows of all curves are merged.
+the vectors of its own and the neighbouring blocks. The windows of all curves are merged. The window
+follows from the number of vectors: without structure, neighbours are a share of the table away on a
+curve, not a number of rows.
 """
 
 from __future__ import annotations
@@ -22,12 +24,17 @@ from fencewatch.sources.scratch import written
 
 @dataclass(frozen=True)
 class Curves:
-    """``block`` vectors to a block: a query meets two to three times as many on each of the ``count`` curves."""
+    """On each of the ``count`` curves a query meets at least ``max(block, rows / share)`` vectors to either side.
+
+    A block holds so many vectors, but at most ``most``: beyond that a query visits more blocks instead.
+    """
 
     count: int = 16
     dimensions: int = 10
     bits: int = 6
     block: int = 2048
+    share: int = 40
+    most: int = 65536
     seed: int = 1
 
 
@@ -109,44 +116,73 @@ def _with_keys(classes: DataFrame, curves: Curves) -> DataFrame:
     return classes.mapInArrow(run, f"curve long, key long, {schema}")
 
 
-def _in_blocks(keyed: DataFrame, size: int) -> DataFrame:
-    """Add the block of ``size`` rows that each row falls in, along its curve."""
+def _in_blocks(keyed: DataFrame, curves: Curves) -> DataFrame:
+    """Add the block that each row falls in along its curve, and how many blocks to either side a query visits."""
     order = ["curve", "key", "class_id"]
     sorted_ = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = written(sorted_.withColumn("place", F.monotonically_increasing_id()), "curves")
     part = F.shiftright("place", 33).alias("part")
     counts = placed.groupBy("curve", part).agg(F.count("*").alias("rows"), F.min("place").alias("first"))
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("curve", "part", "first", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
-    return placed.withColumn("part", F.shiftright("place", 33)).join(starts, ["curve", "part"]).withColumn(
-        "block", F.floor((F.col("place") - F.col("first") + F.col("before")) / size)
+    window = F.greatest(F.lit(curves.block), F.ceil(F.sum("rows").over(Window.partitionBy("curve")) / curves.share))
+    starts = counts.select(
+        "curve", "part", "first", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"), window.alias("window")
+    ).withColumn("size", F.least("window", F.lit(curves.most)))
+    return (
+        placed.withColumn("part", F.shiftright("place", 33))
+        .join(starts, ["curve", "part"])
+        .withColumn("block", F.floor((F.col("place") - F.col("first") + F.col("before")) / F.col("size")))
+        .withColumn("reach", F.ceil(F.col("window") / F.col("size")))
     )
 
 
 _FOUND = "query_class long, class_id long, score double, members array<long>"
 
 
+#: Numbers of one product of queries and vectors.
+_STEP = 1 << 22
+
+
+def _nearest_of(vectors: np.ndarray, asked: np.ndarray, ids: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each vector asked for: places of the ``keep`` nearest and their distances; ties go to the smaller id.
+
+    A product of matrices bounds the distances, up to its rounding; those that can be among the nearest are
+    then computed in full.
+    """
+    step = max(1, _STEP // len(vectors))
+    with np.errstate(over="ignore", invalid="ignore"):
+        half = (vectors**2).sum(1) / 2
+        for first in range(0, len(asked), step):
+            some = asked[first : first + step]
+            rough = half - some @ vectors.T
+            last = np.partition(rough, keep - 1, axis=1)[:, keep - 1] if keep < len(vectors) else np.full(len(some), np.inf)
+            last = last + 1e-10 * (half.max() + (some**2).sum(1))
+            for vector, values, most in zip(some, rough, last):
+                places = np.flatnonzero(~(values > most))  # all, where a bound is not a number
+                score = np.sqrt(((vectors[places] - vector) ** 2).sum(1))
+                near = np.lexsort((ids[places], score))[:keep]
+                yield places[near], score[near]
+
+
 def _compared(rows: pd.DataFrame, keep: int) -> pd.DataFrame:
     """The nearest classes of each query that visits a block."""
     here = rows[~rows["visitor"]]
     visitors = rows[rows["visitor"]]
-    out: list[pd.DataFrame] = []
-    if len(here) and len(visitors):
-        vectors = np.stack(here["vector"].to_numpy()).astype(np.float64)
-        smallest = here["members"].str[0].to_numpy(np.int64)
-        for query, vector in zip(visitors["class_id"], visitors["vector"]):
-            score = np.sqrt(((vectors - np.asarray(vector, np.float64)) ** 2).sum(1))
-            near = np.lexsort((smallest, score))[:keep]
-            found = here.iloc[near]
-            out.append(
-                pd.DataFrame(
-                    {"query_class": query, "class_id": found["class_id"], "score": score[near], "members": found["members"]}
-                )
-            )
-    if not out:
+    if not len(here) or not len(visitors):
         kinds = {"query_class": "int64", "class_id": "int64", "score": "float64", "members": "object"}
         return pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in kinds.items()})
-    return pd.concat(out)
+    vectors = np.stack(here["vector"].to_numpy()).astype(np.float64)
+    asked = np.stack(visitors["vector"].to_numpy()).astype(np.float64)
+    found = list(_nearest_of(vectors, asked, here["members"].str[0].to_numpy(np.int64), keep))
+    places = np.concatenate([near for near, _ in found])
+    return pd.DataFrame(
+        {
+            "query_class": np.repeat(visitors["class_id"].to_numpy(), [len(near) for near, _ in found]),
+            "class_id": here["class_id"].to_numpy()[places],
+            "score": np.concatenate([score for _, score in found]),
+            "members": here["members"].to_numpy()[places],
+        }
+    )
 
 
 def nearest(
@@ -176,11 +212,14 @@ def nearest(
     flagged = members.join(asked.select("class_id").distinct().withColumn("query", F.lit(True)), "class_id", "left")
     classes = written(flagged.withColumn("query", F.coalesce("query", F.lit(False))), "vectors")
 
-    blocks = _in_blocks(_with_keys(classes, curves), curves.block).select("curve", "block", "class_id", "vector", "members", "query")
-    visits = blocks.where("query").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    blocks = _in_blocks(_with_keys(classes, curves), curves).select(
+        "curve", "block", "reach", "class_id", "vector", "members", "query"
+    )
+    seen = F.sequence(F.col("block") - F.col("reach"), F.col("block") + F.col("reach"))
+    visits = blocks.where("query").withColumn("block", F.explode(seen))
     together = blocks.withColumn("visitor", F.lit(False)).unionByName(visits.withColumn("visitor", F.lit(True)))
     found = (
-        together.drop("query")
+        together.drop("query", "reach")
         .groupBy("curve", "block")
         .applyInPandas(lambda group: _compared(group, k + 1), _FOUND)
         .groupBy("query_class", "class_id")

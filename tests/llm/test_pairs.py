@@ -140,6 +140,35 @@ def test_small_blocks_find_clustered_neighbours(spark):
     assert len({(r["query_id"], r["vec_id"]) for r in got} & wanted) >= 0.9 * len(wanted)
 
 
+@pytest.mark.parametrize("most", [65536, 40])
+def test_window_follows_from_the_number_of_rows(spark, most):
+    from pyspark.sql import functions as F
+
+    # Without structure, a window of a fixed number of rows loses most neighbours.
+    vectors = np.random.default_rng(3).normal(size=(6000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    curves = neighbours.Curves(block=8, most=most)
+    got = neighbours.nearest(frame, F.col("vec_id") % 100 == 0, curves=curves).collect()
+    hits = 0
+    for q in range(0, 6000, 100):
+        near = np.argsort(((vectors - vectors[q]) ** 2).sum(1))[1:11].tolist()
+        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(near))
+    assert hits >= 0.9 * 600
+
+
+def test_nearest_of_huge_and_tiny_numbers_equal_those_of_a_loop():
+    draw = np.random.default_rng(4)
+    for scale in (1e200, 1e-200, 1.0, 1e6):
+        vectors = (draw.integers(-2, 3, size=(300, 5)) + (1e6 if scale == 1.0 else 0)) * scale
+        ids = draw.permutation(300)
+        for vector, (places, score) in zip(vectors[:40], neighbours._nearest_of(vectors, vectors[:40], ids, 11)):
+            with np.errstate(over="ignore"):
+                wanted = np.sqrt(((vectors - vector) ** 2).sum(1))
+            near = np.lexsort((ids, wanted))[:11]
+            assert places.tolist() == near.tolist() and score.tolist() == wanted[near].tolist()
+
+
 # --- reply trees
 
 
