@@ -2,8 +2,9 @@
 
 The field scores whole candidate segments (length, digit groups, separators, check digits, borders)
 rather than single tokens, and dynamic programming over segments of bounded length chooses
-boundaries and kinds together. It looks at the neighbourhood of digits and of the sign @ only:
-elsewhere no segment is a candidate, and the best labelling is "none" whatever the weights.
+boundaries and kinds together. It looks at the runs of characters that a candidate with a digit or
+the sign @ can consist of, each as a whole: elsewhere no segment is a candidate, and the best
+labelling is "none" whatever the weights.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import math
 import random
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,9 +26,9 @@ from fencewatch.llm.common import steps, text_of, texts
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
 NONE = "none"
+_LABELS = (NONE, *KINDS)
 #: Most tokens of one entity.
 MOST_TOKENS = 24
-_MARGIN = 48
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 _SPAN_TYPE = pa.list_(
     pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
@@ -123,26 +126,30 @@ def _features(text: str, start: int, end: int, kind: str) -> list[str]:
     return out
 
 
-def _candidates(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, str]]]:
-    """For each token at which a segment ends: (its first token, kind); an entity is of bounded length."""
-    ending: list[list[tuple[int, str]]] = []
-    for last, (_, end) in enumerate(tokens):
-        here = [(last, NONE)]
-        tail = text[end - 1]
-        if tail.isascii() and tail.isalnum():
-            for first in range(last, max(-1, last - MOST_TOKENS), -1):
-                start = tokens[first][0]
-                if text[start] == "\n" or text[start] not in _INSIDE:
-                    break
-                span = text[start:end]
-                if _MAIL_LIKE.fullmatch(span):
-                    here.append((first, "email"))
-                elif tail.isdigit() and _NUMERIC.fullmatch(span):
-                    n = sum(map(str.isdigit, span))
-                    kinds = ("ip",) * (span.count(".") >= 3 and n >= 4) + ("card",) * (13 <= n <= 19) + ("phone",) * (7 <= n <= 15)
-                    here += [(first, kind) for kind in kinds]
-        ending.append(here)
-    return ending
+def _tokens(text: str, start: int, end: int) -> array:
+    """Where the tokens of a part of a text start, and its end."""
+    return array("q", [start, *(m.end() for m in _TOKEN.finditer(text, start, end))])
+
+
+def _candidates(text: str, bounds: array, last: int) -> list[tuple[int, str]]:
+    """For the token at which a segment ends: (its first token, kind); an entity is of bounded length."""
+    here = [(last, NONE)]
+    end, signs = bounds[last + 1], 0
+    tail = text[end - 1]
+    if tail.isascii() and tail.isalnum():
+        for first in range(last, max(-1, last - MOST_TOKENS), -1):
+            start = bounds[first]
+            signs += text[start] == "@"
+            if text[start] not in _INSIDE or signs > 1:
+                break
+            span = text[start:end]
+            if signs and _MAIL_LIKE.fullmatch(span):
+                here.append((first, "email"))
+            elif tail.isdigit() and _NUMERIC.fullmatch(span):
+                n = sum(map(str.isdigit, span))
+                kinds = ("ip",) * (span.count(".") >= 3 and n >= 4) + ("card",) * (13 <= n <= 19) + ("phone",) * (7 <= n <= 15)
+                here += [(first, kind) for kind in kinds]
+    return here
 
 
 _INSIDE = frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ@._%+-() ")
@@ -163,32 +170,37 @@ class SpanField:
         weights = self.weights
         return sum(weights.get(f, 0.0) for f in features)
 
-    def best(self, text: str) -> list[tuple[str, int, int]]:
-        """Entities of the best segmentation of a short text."""
-        tokens = [m.span() for m in _TOKEN.finditer(text)]
-        score, back = [0.0], [(-1, NONE)]
-        for last, here in enumerate(_candidates(text, tokens)):
-            end = tokens[last][1]
-            value, choice = max(
-                ((score[first] + self._score(_features(text, tokens[first][0], end, kind)), (first, kind)) for first, kind in here),
+    def best(self, text: str, start: int = 0, end: int | None = None) -> list[tuple[str, int, int]]:
+        """Entities of the best segmentation of a part of a text, which ends where no entity crosses."""
+        bounds = _tokens(text, start, len(text) if end is None else end)
+        # A segment is kept as one byte, its number of tokens and its kind.
+        score, back = array("d", [0.0]), bytearray(1)
+        for last in range(len(bounds) - 1):
+            value, first, kind = max(
+                (
+                    (score[first] + self._score(_features(text, bounds[first], bounds[last + 1], kind)), first, kind)
+                    for first, kind in _candidates(text, bounds, last)
+                ),
                 key=lambda x: x[0],
             )
             score.append(value)
-            back.append(choice)
-        found, at = [], len(tokens)
+            back.append((last - first) * len(_LABELS) + _LABELS.index(kind))
+        found, at = [], len(bounds) - 1
         while at:
-            first, kind = back[at]
-            if kind != NONE:
-                found.append((kind, tokens[first][0], tokens[at - 1][1]))
+            more, label = divmod(back[at], len(_LABELS))
+            first = at - 1 - more
+            if _LABELS[label] != NONE:
+                found.append((_LABELS[label], bounds[first], bounds[at]))
             at = first
         return found[::-1]
 
     def _slope(self, text: str, gold: list[tuple[str, int, int]]) -> dict[str, float]:
         """Features of the given segmentation less those expected under the field, by forward and backward sums."""
-        tokens = [m.span() for m in _TOKEN.finditer(text)]
+        bounds = _tokens(text, 0, len(text))
+        tokens = list(zip(bounds, bounds[1:]))
         arcs = [
-            [(first, _features(text, tokens[first][0], tokens[last][1], kind), kind) for first, kind in here]
-            for last, here in enumerate(_candidates(text, tokens))
+            [(first, _features(text, tokens[first][0], end, kind), kind) for first, kind in _candidates(text, bounds, last)]
+            for last, (_, end) in enumerate(tokens)
         ]
         scored = [[self._score(f) for _, f, _ in here] for here in arcs]
         forward = [0.0]
@@ -287,47 +299,60 @@ def trained() -> SpanField:
     return SpanField().fit(examples())
 
 
-def _neighbourhoods(text: str) -> Iterator[tuple[int, int]]:
-    """Where candidates can be, each cut at blanks and a bounded distance around digits and signs."""
-    start, end = -1, -1
-    for trigger in _TRIGGER.finditer(text):
-        at = trigger.start()
-        if at > end:
-            if start >= 0:
-                yield start, end
-            start = max(end if end >= 0 else 0, at - _MARGIN)
-        end = min(len(text), at + _MARGIN)
-    if start >= 0:
-        yield start, end
+#: What a candidate has to hold and the characters that it can consist of: see ``_NUMERIC`` and ``_MAIL_LIKE``.
+_RUNS = (
+    (_DIGITS, frozenset("0123456789+() .-"), re.compile(r"[0-9+() .\-]+")),
+    (re.compile("@"), _INSIDE - frozenset("() "), re.compile(r"[A-Za-z0-9@._%+\-]+")),
+)
+
+
+def _neighbourhoods(text: str) -> list[tuple[int, int]]:
+    """Where candidates can be: no candidate lies over an end of a neighbourhood."""
+    runs = []
+    for sign, inside, run in _RUNS:
+        end = 0
+        for m in sign.finditer(text):
+            if m.start() < end:
+                continue
+            start = m.start()
+            while start > end and text[start - 1] in inside:
+                start -= 1
+            end = run.match(text, m.start()).end()
+            runs.append((start, end))
+    return _joined(runs)
+
+
+def _joined(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Parts that overlap as one, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(parts):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
 
 def all_spans(text: str, field: SpanField) -> list[tuple[str, int, int, bool]]:
     """Base spans and, where none of them lies, what the field adds; ordered by kind, then start."""
     base = base_spans(text)
     spans = [(kind, a, b, True) for kind, a, b in base]
+    covered = _joined([(a, b) for _, a, b in base])
+    starts, ends = [a for a, _ in covered], [b for _, b in covered]
     for start, end in _neighbourhoods(text):
-        for at in range(start, end, _LONGEST):
-            stop = min(end, at + _LONGEST)
-            inside = text[at:stop]
-            covered = sorted((a, b) for _, a, b in base if a < stop and b > at)
-            # A part that holds nothing but base spans needs no labelling.
-            rest, place = "", at
-            for a, b in covered:
-                rest += text[place : max(place, a)]
-                place = max(place, b)
-            rest += text[place:stop] if place < stop else ""
-            if not _TRIGGER.search(rest):
-                continue
-            for kind, a, b in field.best(inside):
-                if all(at + b <= x or at + a >= y for x, y in covered):
-                    spans.append((kind, at + a, at + b, False))
+        # A neighbourhood that holds nothing but base spans needs no labelling.
+        place, rest = start, False
+        for i in range(bisect_right(ends, start), bisect_left(starts, end)):
+            rest = rest or bool(_TRIGGER.search(text, place, max(place, starts[i])))
+            place = ends[i]
+        if not rest and not _TRIGGER.search(text, place, max(place, end)):
+            continue
+        for kind, a, b in field.best(text, start, end):
+            if bisect_right(ends, a) == bisect_left(starts, b):
+                spans.append((kind, a, b, False))
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-#: Characters that are labelled together; longer runs of digits are cut, which bounds time and memory.
-_LONGEST = 2000
-
-
 def found(frame: DataFrame, key: str = "doc_id", text: str = "text", field: SpanField | None = None) -> DataFrame:
     """The key and ``spans`` of every row: kind, start, end (code points, end exclusive), base or added.
 

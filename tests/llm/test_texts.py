@@ -254,6 +254,26 @@ def test_masking(spark, odd, empty):
     assert pii.found(empty).count() == 0 and pii.masked(empty).count() == 0
 
 
+def test_entities_of_long_numeric_texts_are_found_wherever_they_stand():
+    field, phone, card = pii.trained(), "(784) 555-8120", "4111.1111.1111.1111"
+    for shift in range(40):
+        text = "x" * shift + "; " + "id 12; " * 283 + f"{phone}; {card}; " + "id 12; " * 20
+        assert [(k, text[a:b]) for k, a, b, _ in pii.all_spans(text, field)] == [("card", card), ("phone", phone)]
+    # Numbers that only blanks part are one neighbourhood; one byte of history a token is kept.
+    text = "12 " * 30_000
+    assert len(pii._neighbourhoods(text)) == 1 and all(b <= len(text) for _, _, b, _ in pii.all_spans(text, field))
+
+
+def test_neighbourhoods_change_no_labelling():
+    draw, field = random.Random(12), pii.trained()
+    parts = [t for t, _ in pii.examples(150, seed=5)] + ["é", "\n", "(", "@", "x" * 60, "... ", "12 34 ", "\u0663"]
+    for _ in range(150):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 8)))
+        base = pii.base_spans(text)
+        added = [(k, a, b) for k, a, b in field.best(text) if all(b <= x or a >= y for _, x, y in base)]
+        assert [s[:3] for s in pii.all_spans(text, field) if not s[3]] == sorted(added, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+
+
 def test_long_runs_take_linear_time():
     assert pii.all_spans("a" * 300_000 + "@", pii.trained()) == []
     assert pii.base_spans("1" * 300_000) == []
