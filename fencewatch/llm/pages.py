@@ -67,6 +67,7 @@ def features(page: Page, words: dict[str, float]) -> np.ndarray:
     for kids in children:
         kids.reverse()
         place.update((kid, i) for i, kid in enumerate(kids))
+    alike = [Counter(page.tag[kid] for kid in kids) for kids in children]
     for node in range(n):
         values = [words.get(t, 0.0) for t in page.tokens[node]]
         tag_value = words.get("<" + page.tag[node], 0.0)
@@ -83,7 +84,7 @@ def features(page: Page, words: dict[str, float]) -> np.ndarray:
             (
                 tag_value, sum(values), min(values, default=0.0), max(values, default=0.0), low[node], high[node], depth[node],
                 log(chars[node]), link_chars[node] / size, 100 * elements[node] / size, log(own[node]), 100 * marks[node] / size,
-                log(paragraphs[node]), i / len(kids), log(len(kids)), sum(page.tag[k] == page.tag[node] for k in kids[:50]) / len(kids[:50]),
+                log(paragraphs[node]), i / len(kids), log(len(kids)), alike[up][page.tag[node]] / len(kids) if up >= 0 else 1.0,
                 chars[node] / max(1, chars[up] if up >= 0 else size), max(0, before[node]) / max(1, total), chars[node] / max(1, total),
                 log(links[node]), log((chars[up] if up >= 0 else size) / len(kids)), link_chars[last] / max(1, chars[last]), log(controls[node]),
             )

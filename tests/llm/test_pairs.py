@@ -244,6 +244,13 @@ def test_articles_of_the_test_pages(spark):
     assert right >= 0.95 * len(rows)
 
 
+def test_share_of_like_siblings_counts_all_of_them():
+    page = dom.read_page("<div>" + "<p>a</p>" * 90 + "<ul><li>b</ul>" * 30 + "</div>")
+    share = pages.features(page, {})[:, 15]
+    got = {(tag, share[i]) for i, tag in enumerate(page.tag) if tag in ("p", "ul")}
+    assert got == {("p", 0.75), ("ul", 0.25)}
+
+
 def test_no_node_contradicts_one_above():
     model, layout = pages.trained(), pages._Layout(random.Random(5))
     page = dom.read_page(layout.page())
