@@ -75,6 +75,14 @@ def test_one_document_of_each_component_stays(spark):
     assert jaccard.distinct_documents(frame.where("false")).count() == 0
 
 
+def test_texts_of_one_id_stay_or_go_each_by_itself(spark):
+    draw = random.Random(9)
+    copied, clean = random_text(draw, 30), random_text(draw, 30)
+    rows = [(1, copied), (2, copied), (2, clean), (3, "a text of its own with some words"), (2, None)]
+    stays = jaccard.distinct_documents(with_clashes(spark, rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in stays) == sorted((i, t or "") for i, t in rows if (i, t) != (2, copied))
+
+
 def test_trie_search_equals_all_pairs():
     draw = random.Random(1)
     for _ in range(200):
