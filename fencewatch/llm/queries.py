@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fencewatch.llm import bpe, chat, jaccard, neighbours, packing, pages, pii, quality, repetition, urls
+from fencewatch.llm import alignment, bpe, chat, jaccard, neighbours, packing, pages, pii, quality, ranked, repetition, substrings, urls
 from fencewatch.llm.common import table
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = "/opt/tokenizers"
-
 
 def vocabulary(name: str) -> str:
-    """Path of a tokenizer's file, as the module beside the files gives it."""
-    return f"{TOKENIZERS}/{name}"
+    """Path of a public tokenizer's file, as the package of these files gives it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +100,24 @@ def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lempel_ziv_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word windows that a document of smaller id holds too."""
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_range_maximum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark text."""
+    return ranked.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hashed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's links between the tokens of two tokenizers, with the counts of the linked pairs."""
+    made = alignment.aligned(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 _OP5_SQL = """
 WITH turns AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -125,5 +142,54 @@ SELECT conv_id,
 FROM sized GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_repetition, op3_trie_jaccard, op4_hilbert_neighbours, op5_reply_trees, op6_byte_network, op7_boosted_main_text, op8_url_rules, op9_bpe, op10_semi_markov_pii)}
-ORACLES = {"op5_reply_trees": _OP5_SQL}
+_OP11_SQL = r"""
+WITH numbered AS (SELECT *, row_number() OVER () AS r FROM documents),
+worded AS (SELECT r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM numbered),
+windows AS (
+  SELECT r, doc_id, unnest(range(1, len(words) - 48)) AS start, words FROM worded WHERE len(words) >= 50),
+hashed AS (SELECT r, doc_id, start, md5(array_to_string(words[start:start + 49], ' ')) AS h FROM windows),
+firsts AS (SELECT h, min(doc_id) AS low FROM hashed GROUP BY h),
+repeated AS (SELECT r, start FROM hashed JOIN firsts USING (h) WHERE doc_id > low),
+gone AS (SELECT DISTINCT r, start + unnest(range(50)) AS place FROM repeated),
+placed AS (SELECT r, doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM worded),
+left_over AS (
+  SELECT r, count(*) AS n_words, count(g.place) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY place) FILTER (WHERE g.place IS NULL), '') AS kept
+  FROM placed p LEFT JOIN gone g USING (r, place) GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM worded LEFT JOIN left_over USING (r)
+"""
+
+_OP12_SQL = r"""
+WITH split AS (
+  SELECT doc_id, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS r FROM documents)),
+asked AS (
+  SELECT item_id, text, term, count(*) AS repeats FROM (
+    SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+sizes AS (SELECT r, count(*) AS n FROM split GROUP BY r),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+found AS (SELECT doc_id, r, term, count(*) AS tf FROM split WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM found CROSS JOIN corpus GROUP BY term, docs),
+scored AS (
+  SELECT item_id, text, doc_id, r,
+    CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+  FROM asked JOIN found USING (term) JOIN weights USING (term) JOIN sizes USING (r) CROSS JOIN corpus GROUP BY ALL),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+_OPERATORS = (
+    op1_best_fit_packing, op2_suffix_repetition, op3_trie_jaccard, op4_hilbert_neighbours, op5_reply_trees, op6_byte_network,
+    op7_boosted_main_text, op8_url_rules, op9_bpe, op10_semi_markov_pii, op11_lempel_ziv_spans, op12_range_maximum_search,
+    op13_hashed_alignment,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+ORACLES = {"op5_reply_trees": _OP5_SQL, "op11_lempel_ziv_spans": _OP11_SQL, "op12_range_maximum_search": _OP12_SQL}
