@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fencewatch.functions.advert import price_amount
-from fencewatch.operators.keyed import aggregate_per_key, attach_aggregates
+from fencewatch.operators.keyed import aggregate_per_key
 from fencewatch.operators.results import OK
 from fencewatch.settings import PHONE_DEFAULT
 
@@ -30,26 +30,36 @@ def posted_after(
     return listings.where(wanted)
 
 
-def phone_reuse(listings: DataFrame, default: str = PHONE_DEFAULT) -> DataFrame:
+def phone_reuse(
+    listings: DataFrame, default: str = PHONE_DEFAULT, stored: DataFrame | None = None
+) -> DataFrame:
     """Add ``phone_adverts``, the number of adverts with the same phone number.
 
-    NULL for the default number and for no number: neither says anything about the seller.
+    NULL for the default number and for no number: neither says anything about the seller. With ``stored``,
+    the same adverts as a stored table, they are counted there and ``listings`` is read once.
     """
     known = F.when(F.col("phone_number") != default, F.col("phone_number"))
-    keyed = listings.withColumn("known_phone", known)
-    counted = attach_aggregates(keyed, ["known_phone"], F.count("*").alias("phone_adverts"))
-    return counted.drop("known_phone")
+    counts = aggregate_per_key(
+        (stored or listings).select(known.alias("known_phone")), ["known_phone"], F.count("*").alias("phone_adverts")
+    )
+    return listings.withColumn("known_phone", known).join(counts, "known_phone", "left").drop("known_phone")
 
 
-def price_outlier(listings: DataFrame, group: str = "request_id") -> DataFrame:
-    """Add ``amount`` and ``price_ratio``: the price against the mean price of the same search."""
-    priced = listings.withColumn("amount", price_amount(F.col("price")))
-    sums = attach_aggregates(
-        priced,
+def price_outlier(
+    listings: DataFrame, group: str = "request_id", stored: DataFrame | None = None
+) -> DataFrame:
+    """Add ``amount`` and ``price_ratio``: the price against the mean price of the same search.
+
+    With ``stored``, the same listings as a stored table, prices are summed there and ``listings`` is read once.
+    """
+    amount = price_amount(F.col("price"))
+    per_group = aggregate_per_key(
+        (stored or listings).select(group, amount.alias("amount")),
         [group],
         F.sum("amount").cast("double").alias("amount_sum"),
         F.count("amount").alias("amount_count"),
     )
+    sums = listings.withColumn("amount", amount).join(per_group, group, "left")
     mean = F.col("amount_sum") / F.nullif(F.col("amount_count"), F.lit(0))
     ratio = F.when(mean != 0, F.col("amount").cast("double") / mean)
     return sums.withColumn("price_ratio", ratio).drop("amount_sum", "amount_count")

@@ -30,16 +30,16 @@ def typed_sort(
     tie_breakers: Sequence[str],
     descending: bool = False,
 ) -> DataFrame:
-    """Sort text rows by what the text means: ``date``, ``numeric`` or ``text``; adds ``row_no``.
+    """Number text rows by what the text means: ``date``, ``numeric`` or ``text``; adds ``row_no``.
 
-    The tie breakers should make the order total: the result is then repeatable, and many equal
+    The rows are sorted once, to be numbered; a sink that wants them in order sorts by ``row_no``. The tie breakers should make the order total: the result is then repeatable, and many equal
     keys are still spread over range partitions.
     """
     key = sort_key(column, kind)
     keyed = df.withColumn("sort_key", key)
     direction = F.col("sort_key").desc() if descending else F.col("sort_key").asc()
     rest = [F.col(name).desc() if descending else F.col(name).asc() for name in tie_breakers]
-    return numbered_rows(keyed, [], [direction, *rest], "row_no").orderBy("row_no")
+    return numbered_rows(keyed, [], [direction, *rest], "row_no")
 
 
 def kind_of_column(df: DataFrame, column: str, order: Sequence[str]) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fencewatch.operators.details import join_details, read_details
 from fencewatch.operators.feeds import summarise_feeds
 from fencewatch.operators.keyed import newest_per_key
+from fencewatch.operators.lookup import asked_snapshots
 from fencewatch.operators.output import with_status_fields
 from fencewatch.operators.results import (
     expand_results,
@@ -19,6 +20,7 @@ from fencewatch.operators.results import (
     with_search_url,
 )
 from fencewatch.settings import HTML_SEARCH, RSS_SEARCH, SearchRules
+from fencewatch.sources.scratch import written
 
 # Summary fields that only HTML result rows state.
 _SUMMARY_DEFAULTS = {
@@ -37,13 +39,20 @@ def _fetched_at(pages: DataFrame) -> list[str]:
 
 
 def newest_details(
-    pages: DataFrame, rules: SearchRules, max_bytes: int | None = None, unique: bool = False
+    pages: DataFrame,
+    rules: SearchRules,
+    max_bytes: int | None = None,
+    unique: bool = False,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """Scored fields of the newest snapshot of every page.
 
     The page text is read first and left behind: only the extracted fields are shuffled. With
-    ``unique`` the caller vouches for one snapshot per address and the shuffle is saved.
+    ``unique`` the caller vouches for one snapshot per address and the shuffle is saved. With a stored
+    table ``asked(link_url)``, only the newest snapshots of those addresses (and few others) are read.
     """
+    if asked is not None:
+        pages = asked_snapshots(pages, asked, unique)
     keep = _fetched_at(pages)
     details = read_details(pages, rules.detail, rules.phone, keep, max_bytes)
     if unique:
@@ -66,10 +75,9 @@ def _listings(
     guarded = guard_results(found, rules)
     if stolen_on is not None:
         guarded = guarded_since(guarded, stolen_on, rules)
-    rows = expand_results(guarded).drop("fetched_at")
-    return with_status_fields(
-        join_details(rows, newest_details(detail_pages, rules, max_bytes, unique))
-    )
+    rows = written(expand_results(guarded).drop("fetched_at"), "guarded-rows")
+    details = newest_details(detail_pages, rules, max_bytes, unique, asked=rows.select("link_url"))
+    return with_status_fields(join_details(rows, details))
 
 
 def search_html(
@@ -89,7 +97,8 @@ def search_html(
     request of which none is left gets the status row of an empty result.
 
     Every request gets its listings, or one status row. Two shuffled joins: requests with page
-    summaries on the result address, listings with detail fields on the advert address.
+    summaries on the result address, listings with detail fields on the advert address. Only detail pages
+    that a listing names are read, and of each only the newest.
     ``unique_pages`` says that both page tables hold one snapshot per address.
     """
     summaries = summarise_result_pages(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fencewatch.functions.encodings import charset_of, decoded
+
 
 def read_pages(spark: SparkSession, path: str, url: str = "url", html: str = "html") -> DataFrame:
     """Page table in Parquet as ``(url, html)`` and, where present, ``fetched_at``."""
@@ -25,6 +27,23 @@ def read_page_files(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
     return files.select(F.col("path").alias("url"), F.decode("content", encoding).alias("html"))
 
 
+def read_page_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """A folder with one page per file, each in a charset of its own, as ``(url, charset, html)``.
+
+    A byte-order mark decides, then the charset that the page declares, then whether it is valid
+    UTF-8; anything else is Windows-1252. No page fails the read.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    return decoded_pages(files.select(F.col("path").alias("url"), "content"))
+
+
+def decoded_pages(pages: DataFrame) -> DataFrame:
+    """Pages landed as bytes in ``content`` with ``charset`` and ``html`` instead; other columns stay."""
+    charset = charset_of(F.col("content"))
+    told = pages.withColumn("charset", charset)
+    return told.withColumn("html", decoded(F.col("content"), F.col("charset"))).drop("content")
+
+
 def read_match_page_table(spark: SparkSession, path: str) -> DataFrame:
     """Image-search answers: ``(image_uri, http_status, html)``."""
     pages = spark.read.parquet(path)

@@ -157,7 +157,7 @@ asked AS (
          ELSE '2012/' || (c_custkey % 12 + 1) || '/' || (c_custkey % 28 + 1) END AS date_shown
   FROM form)"""
 
-_MAKER = "['schwinn', 'specialized', 'cannondale', 'norco', 'giant', 'trek'][p_partkey % 6 + 1]"
+_MAKER = "['velodor', 'quickwheel', 'mountaria', 'pedalio', 'rovano', 'zirk'][p_partkey % 6 + 1]"
 _PART_ADVERT = f"""advert AS (
   SELECT p_partkey, string_split('selling my '
     || CASE WHEN p_partkey % 3 = 0 THEN substr({_MAKER}, 1, 1) || substr({_MAKER}, 3) ELSE {_MAKER} END
@@ -213,6 +213,96 @@ weights AS (
   SELECT word, n_bad, n_good, CAST(round(ln((n_bad + 1) / (totals.bad + 2)) - ln((n_good + 1) / (totals.good + 2)), 6)
     AS DECIMAL(12, 6)) AS weight FROM per_word CROSS JOIN totals)"""
 
+_RANKED = f"""WITH advert AS (
+  SELECT p_partkey, list_distinct(string_split('selling my '
+    || CASE WHEN p_partkey % 3 = 0 THEN substr({_MAKER}, 1, 1) || substr({_MAKER}, 3) ELSE {_MAKER} END
+    || ' co ' || p_name || ' ' || ['black', 'blue', 'brown and black', 'silver red', 'xyz'][p_partkey % 5 + 1], ' ')) AS tokens
+  FROM part),
+held AS (SELECT p_partkey AS listing_id, unnest(tokens) AS term FROM advert),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(((SELECT count(*) FROM part) + 1) / (count(*) + 1))) AS BIGINT) + 1 AS weight
+  FROM held GROUP BY term),
+makes AS (SELECT DISTINCT {_MAKER} AS make FROM part),
+near AS (
+  SELECT DISTINCT make, listing_id FROM makes JOIN held
+    ON term = make OR (length(term) >= 4 AND length(make) >= 4 AND levenshtein(term, make) <= 1)),
+item AS (
+  SELECT p_partkey AS item_id, {_MAKER} AS make, unnest(list_distinct(list_concat(
+    CASE WHEN p_partkey % 9 <> 0 THEN string_split(p_name, ' ') ELSE [] END,
+    CASE WHEN p_partkey % 8 <> 0 AND p_partkey % 5 <> 4 THEN {_COLOUR_LIST} ELSE [] END))) AS term
+  FROM part),
+scored AS (
+  SELECT item_id, n.listing_id, CAST(sum(weight) AS BIGINT) AS score
+  FROM item i JOIN near n USING (make) JOIN held h ON h.listing_id = n.listing_id AND h.term = i.term
+    JOIN weights w ON w.term = i.term
+  GROUP BY ALL),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, listing_id) AS INTEGER) AS rank FROM scored)
+SELECT CAST(item_id AS VARCHAR) AS item_id, rank, listing_id, score FROM ranked WHERE rank <= 3"""
+
+
+def _newton(labelled: str, signals: tuple[str, ...], steps: int, ridge: float) -> str:
+    """CTEs up to ``learnt(b0, ...)``: Newton steps of a logistic regression, each solved by elimination."""
+    size = len(signals) + 1
+    index = range(size)
+    ctes = [f"labelled AS ({labelled})"]
+    moments = ", ".join(f"avg({s}) AS m{i}, stddev_pop({s}) AS s{i}" for i, s in enumerate(signals, 1))
+    ctes.append(f"moments AS (SELECT {moments} FROM labelled)")
+    scaled = ", ".join(f"CASE WHEN s{i} > 0 THEN ({s} - m{i}) / s{i} ELSE 0.0 END AS z{i}" for i, s in enumerate(signals, 1))
+    ctes.append(f"scaled AS (SELECT y, 1.0::DOUBLE AS z0, {scaled} FROM labelled CROSS JOIN moments)")
+    ctes.append("w0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in index) + ")")
+    margin = " + ".join(f"b{i} * z{i}" for i in index)
+    for k in range(steps):
+        weights = ", ".join(f"b{i}" for i in index)
+        ctes.append(f"p{k} AS (SELECT *, 1.0 / (1.0 + exp(-({margin}))) AS p FROM scaled CROSS JOIN w{k})")
+        sums = [f"sum((y - p) * z{i}) - {ridge if i else 0.0} * b{i} AS g{i}" for i in index]
+        sums += [
+            f"sum(p * (1 - p) * z{i} * z{j}) + {(ridge if i else 0.0) + 1e-9 if i == j else 0.0} AS h{i}_{j}"
+            for i in index for j in index
+        ]
+        ctes.append(f"e{k}_0 AS (SELECT {weights}, {', '.join(sums)} FROM p{k} GROUP BY {weights})")
+        for n in range(size - 1):
+            cells = [f"g{i}" if i <= n else f"g{i} - h{i}_{n} / h{n}_{n} * g{n} AS g{i}" for i in index]
+            cells += [
+                f"h{i}_{j}" if i <= n else f"h{i}_{j} - h{i}_{n} / h{n}_{n} * h{n}_{j} AS h{i}_{j}" for i in index for j in index
+            ]
+            ctes.append(f"e{k}_{n + 1} AS (SELECT {weights}, {', '.join(cells)} FROM e{k}_{n})")
+        steps_back = []
+        for i in reversed(index):
+            rest = "".join(f" - h{i}_{j} * d{j}" for j in range(i + 1, size))
+            steps_back.append(f"(g{i}{rest}) / h{i}_{i} AS d{i}")
+        ctes.append(f"d{k} AS (SELECT {weights}, {', '.join(steps_back)} FROM e{k}_{size - 1})")
+        ctes.append(f"w{k + 1} AS (SELECT " + ", ".join(f"b{i} + d{i} AS b{i}" for i in index) + f" FROM d{k})")
+    plain = [f"CASE WHEN s{i} > 0 THEN b{i} / s{i} ELSE 0.0 END AS c{i}" for i in range(1, size)]
+    constant = "b0" + "".join(f" - c{i} * m{i}" for i in range(1, size)) + " AS c0"
+    ctes.append(f"learnt AS (SELECT *, {', '.join(plain)}, {constant} FROM w{steps} CROSS JOIN moments)")
+    return ",\n".join(ctes)
+
+
+_SIGNALS = ("text_points", "phone_adverts", "phone_missing", "word_score")
+_LEARNT = f"""WITH {_DOCUMENT_PHONE}, {_WEIGHTS.replace("labelled", "worded_labelled")},
+known AS (
+  SELECT doc_id, nullif(phone_number, '12345678') AS phone FROM numbered),
+counted_phones AS (SELECT phone, count(*) AS n FROM known WHERE phone IS NOT NULL GROUP BY phone),
+said AS (
+  SELECT d.doc_id, CAST(coalesce(sum(weight), 0) AS DOUBLE) AS word_score
+  FROM documents d LEFT JOIN (SELECT doc_id, unnest(words) AS word FROM worded) w ON d.doc_id = w.doc_id
+    LEFT JOIN weights USING (word) GROUP BY d.doc_id),
+signals AS (
+  SELECT doc_id, CAST(500 - len(regexp_extract_all(coalesce(text, ''), '{_WS}')) AS DOUBLE) AS text_points,
+    CAST(coalesce(n, 0) AS DOUBLE) AS phone_adverts, CAST((phone IS NULL)::INTEGER AS DOUBLE) AS phone_missing, word_score
+  FROM documents JOIN known USING (doc_id) LEFT JOIN counted_phones USING (phone) JOIN said USING (doc_id)),
+{_newton("SELECT CAST((quality = 0)::INTEGER AS DOUBLE) AS y, s.* FROM signals s JOIN labels USING (doc_id) WHERE quality IS NOT NULL", _SIGNALS, 8, 1.0)}"""
+
+_ENCODED = r"""WITH kinded AS (
+  SELECT page_id, html || '<!-- “5 €” – š -->' AS html,
+    CASE WHEN regexp_matches(html, '[^\x{00}-\x{FF}“€”–š]') THEN page_id % 4 ELSE page_id % 6 END AS kind FROM pages),
+declared AS (
+  SELECT page_id, kind, CASE kind WHEN 4 THEN replace(html, 'charset="utf-8"', 'charset="Windows-1252"')
+    WHEN 5 THEN replace(html, 'charset="utf-8"', 'name="x"') ELSE html END AS html FROM kinded)
+SELECT page_id, ['UTF-8', 'UTF-8', 'UTF-16LE', 'UTF-16BE', 'windows-1252', 'windows-1252'][kind + 1] AS charset,
+  CAST(length(html) AS INTEGER) AS n_chars, md5(html) AS html_md5 FROM declared"""
+
 ORACLES: dict[str, str] = {
     "page_score": rf"""WITH {_ARTICLE},
 measured AS (SELECT *, CAST(len(regexp_extract_all(body, '{_WS}')) AS INTEGER) AS ws FROM article)
@@ -316,6 +406,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY changed, ter
 SELECT token, term FROM ranked WHERE r = 1""",
     "register_match": f"{_REGISTER_PAIRS}",
     "register_job": f"{_REGISTER_PAIRS} AND i.p_partkey % 2 = 1",
+    "register_rank": _RANKED,
+    "page_encodings": _ENCODED,
+    "signal_weights": _LEARNT + "".join(
+        ("\nSELECT '(constant)' AS signal, round(c0, 6) AS weight FROM learnt",
+         *(f"\nUNION ALL SELECT '{s}', round(c{i}, 8) FROM learnt" for i, s in enumerate(_SIGNALS, 1)))
+    ),
+    "signal_learnt": _LEARNT + "\nSELECT doc_id, round(1.0 / (1.0 + exp(-(c0"
+    + "".join(f" + c{i} * {s}" for i, s in enumerate(_SIGNALS, 1)) + "))), 6) AS learnt_score, "
+    + ", ".join(f"round(c{i} * ({s} - m{i}), 6) AS {s}_points" for i, s in enumerate(_SIGNALS, 1))
+    + " FROM signals CROSS JOIN learnt",
     "typed_sort_date": """SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS day,
   CASE WHEN o_orderkey % 7 = 0 THEN 'n/a ' ELSE ' ' END || CAST(floor(o_totalprice) AS BIGINT) || ' dollars' AS price,
   o_orderpriority, strftime(o_orderdate, '%Y%m%d') AS sort_key,

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from fencewatch.functions import advert, tables, web
 from fencewatch.functions.score import text_points
 from fencewatch.operators import images as image_ops
-from fencewatch.operators import matching, signals
+from fencewatch.operators import learning, matching, signals
 from fencewatch.operators import words as word_ops
 from fencewatch.operators.details import join_details, read_details
 from fencewatch.operators.filters import adverts_with_terms
 from fencewatch.operators.feeds import feed_links, summarise_feeds
 from fencewatch.operators.output import response_json, wire_json
+from fencewatch.operators.ranking import ranked_adverts
 from fencewatch.operators.register import (
     colour_names,
     make_model_colour,
@@ -42,6 +43,7 @@ from fencewatch.plans.image_lookup import look_up_images
 from fencewatch.plans.register_job import match_reported_items
 from fencewatch.plans.search import newest_details, search_html, search_rss
 from fencewatch.settings import PhoneRule, SearchRules
+from fencewatch.sources.landed import decoded_pages
 from fencewatch.sources.json_rows import object_fields, read_json_rows
 from fencewatch.sources.register import read_register
 from fencewatch.sources.scratch import fresh_path, written
@@ -85,6 +87,12 @@ def page_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: pages landed as bytes in five encodings, decoded by what each of them tells."""
+    pages = decoded_pages(render.encoded_pages(spark, sf_dir))
+    return pages.select("page_id", "charset", F.length("html").alias("n_chars"), F.md5("html").alias("html_md5"))
+
+
 def page_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1, C4: every link of every page."""
     pages = _pages(spark, sf_dir)
@@ -219,8 +227,9 @@ def rss_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows with the fields of their detail pages."""
     rows = result_rows(render.result_pages(spark, sf_dir), YEAR, _all_rows())
-    details = newest_details(render.detail_pages(spark, sf_dir), HTML_RULES)
-    joined = join_details(rows.select("url", "pos", "link_url"), details)
+    rows = written(rows.select("url", "pos", "link_url"), "linked-rows")
+    details = newest_details(render.detail_pages(spark, sf_dir), HTML_RULES, asked=rows.select("link_url"))
+    joined = join_details(rows, details)
     return joined.select(
         "url",
         "pos",
@@ -367,7 +376,7 @@ def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "register")
     rows = render.register_rows(spark, sf_dir)
     rows.write.options(sep="\t", header=True, emptyValue="", ignoreLeadingWhiteSpace=False).csv(path)
-    return read_register(spark, path, header=rows.columns)
+    return read_register(spark, path)
 
 
 def register_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,6 +423,13 @@ def register_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def register_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best adverts of every item, by common words alone."""
+    items = register_items(render.register_rows(spark, sf_dir, serial=False), "Occurence Number")
+    best, members = ranked_adverts(items, render.part_adverts(spark, sf_dir, serial=False), k=3)
+    return members.join(best, "set_id").select("item_id", "rank", "listing_id", "score")
+
+
 # --- table helpers ----------------------------------------------------------------------------
 
 
@@ -556,10 +572,10 @@ def signal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         details.select("link_url", "title", "date_posted", "phone_number", "dodgy_score"), "link_url"
     )
     key = F.regexp_extract("link_url", r"/(\d+)\.html$", 1).cast("long")
-    listings = written(basic.withColumn("listing_id", key), "basic-scores")
-    listings = signals.missing_fields(listings, ["title", "date_posted", "phone_number"])
-    listings = signals.phone_reuse(listings)
-    listings = signals.price_outlier(listings, "url")
+    stored = written(basic.withColumn("listing_id", key), "basic-scores")
+    listings = signals.missing_fields(stored, ["title", "date_posted", "phone_number"])
+    listings = signals.phone_reuse(listings, stored=stored)
+    listings = signals.price_outlier(listings, "url", stored=stored)
     listings = signals.delay_gap(listings, _past_delays(spark, sf_dir), _stolen_by_category())
     listings = signals.area_weight(listings, _area_weights(spark, sf_dir))
     listings = signals.on_watch_list(listings, _watched_phones(spark, sf_dir))
@@ -583,6 +599,35 @@ def signal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("link_url", "dodgy_score", *points, "total_score")
 
 
+SIGNALS = ("text_points", "phone_adverts", "phone_missing", "word_score")
+
+
+def _document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of documents with ``bad``, whether their label says low quality; NULL without a label."""
+    known = F.col("phone_adverts").isNotNull()
+    phones = phone_reuse(spark, sf_dir).select(
+        "doc_id", "phone_adverts", F.when(known, 0).otherwise(1).alias("phone_missing")
+    )
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("bad"))
+    joined = text_score(spark, sf_dir).select("doc_id", "text_points").join(phones, "doc_id")
+    return written(joined.join(word_score(spark, sf_dir), "doc_id").join(labels, "doc_id", "left"), "document-signals")
+
+
+def signal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of signals, learnt from labels in eight Newton steps."""
+    weights = learning.learn_weights(_document_signals(spark, sf_dir), SIGNALS)
+    places = F.when(F.col("signal") == learning.CONSTANT, F.round("weight", 6)).otherwise(F.round("weight", 8))
+    return weights.select("signal", places.alias("weight"))
+
+
+def signal_learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the weights learnt, with what each signal adds."""
+    known = _document_signals(spark, sf_dir)
+    scored = learning.learnt_score(known, learning.learn_weights(known, SIGNALS), SIGNALS)
+    points = [F.round(F.col("learnt_points")[name], 6).alias(f"{name}_points") for name in SIGNALS]
+    return scored.select("doc_id", F.round("learnt_score", 6).alias("learnt_score"), *points)
+
+
 def delay_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days from theft to advert against past delays."""
     rows = result_rows(render.result_pages(spark, sf_dir), YEAR, _all_rows())
@@ -617,6 +662,7 @@ def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "page_score": page_score,
     "page_links": page_link_rows,
+    "page_encodings": page_encodings,
     "phone": phone,
     "text_score": text_score,
     "url_param": url_param,
@@ -649,6 +695,7 @@ QUERIES: dict[str, Query] = {
     "make_spelling": make_spelling,
     "register_match": register_match,
     "register_job": register_job,
+    "register_rank": register_rank,
     "typed_sort_date": typed_sort_date,
     "typed_sort_numeric": typed_sort_numeric,
     "typed_sort_text": typed_sort_text,
@@ -664,6 +711,8 @@ QUERIES: dict[str, Query] = {
     "word_weights": word_weights,
     "word_score": word_score,
     "signal_score": signal_score,
+    "signal_weights": signal_weights,
+    "signal_learnt": signal_learnt,
     "delay_gap": delay_gap,
     "area_weight": area_weight,
     "watch_list": watch_list,

@@ -298,24 +298,26 @@ def location_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A property register of the parts, in the column order of the register files."""
+def register_rows(spark: SparkSession, sf_dir: str, serial: bool = True) -> DataFrame:
+    """A property register of the parts, in the column order of the register files.
+
+    Without ``serial`` models have no word of their own: many parts then ask for the same common words.
+    """
     key = F.col("p_partkey")
+    own_word = F.concat(F.lit(" SN"), _text(F.expr("p_partkey div 4"))) if serial else F.lit("")
     colours = F.array(*[F.lit(c) for c in ("BLK", "BLU", "BRNBLK", "SILRED", "XYZ")])
     blank = F.lit(None).cast("string")
     columns = {
-        "Jurisdiction Code": F.lit("VA"),
+        "Jurisdiction Code": F.lit("X9"),
         "Report Year": _text(2012 + key % 2),
         "Occurence Number": _text(key),
         "Property Case Status": F.lit("1"),
         "Item Status": F.lit("1"),
         "Manufacturer's name": F.upper(F.concat(maker(), F.lit(" CO"))),
-        "Style": F.lit("M"),
-        "Model": F.concat(
-            _when(key % 9 != 0, F.upper("p_name")), F.lit(" SN"), _text(F.expr("p_partkey div 4"))
-        ),
+        "Style": F.lit("Z"),
+        "Model": F.concat(_when(key % 9 != 0, F.upper("p_name")), own_word),
         "Color": F.when(key % 8 != 0, F.get(colours, (key % 5).cast("int"))),
-        "Type": F.lit("MT"),
+        "Type": F.lit("Q7"),
         "Seed": _text(F.col("p_size")),
         "Serial number": blank,
         "Plate or Sticker": blank,
@@ -330,7 +332,7 @@ def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(*[c.alias(n) for n, c in columns.items()])
 
 
-MAKERS = ("schwinn", "specialized", "cannondale", "norco", "giant", "trek")
+MAKERS = ("velodor", "quickwheel", "mountaria", "pedalio", "rovano", "zirk")
 
 
 def maker(shift: int = 0) -> Column:
@@ -344,20 +346,42 @@ def misspelt(word: Column) -> Column:
     return F.when(F.col("p_partkey") % 3 == 0, shorter).otherwise(word)
 
 
-def part_adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_adverts(spark: SparkSession, sf_dir: str, serial: bool = True) -> DataFrame:
     """``(listing_id, text)``: an advert per part; makes are misspelt now and then."""
     key = F.col("p_partkey")
+    own_word = [F.concat(F.lit("SN"), _text(F.expr("p_partkey div 4")))] if serial else []
     colours = F.array(*[F.lit(c) for c in ("black", "blue", "brown and black", "silver red", "xyz")])
     return table(spark, sf_dir, "part").select(
         key.alias("listing_id"),
         F.concat_ws(
-            " ", F.lit("Selling my"), misspelt(maker()), F.lit("co"), "p_name",
-            F.concat(F.lit("SN"), _text(F.expr("p_partkey div 4"))),
+            " ", F.lit("Selling my"), misspelt(maker()), F.lit("co"), "p_name", *own_word,
             F.get(colours, (key % 5).cast("int")),
         ).alias("text"),
     )
 
 
+def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, url, content)``: pages landed as bytes, in UTF-8, UTF-16 and Windows-1252, declared or not."""
+    kind = F.col("kind")
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.concat("html", F.lit("<!-- “5 €” – š -->")).alias("html")
+    )
+    narrow = ~F.col("html").rlike("[^\x00-\xFF“€”–š]")
+    kinded = pages.withColumn("kind", F.when(narrow, F.col("page_id") % 6).otherwise(F.col("page_id") % 4))
+    declared = F.replace("html", F.lit('charset="utf-8"'), F.when(kind == 4, 'charset="Windows-1252"').otherwise('name="x"'))
+    high, latin = "“€”–š", "\x93\x80\x94\x96\x9a"
+    return kinded.select(
+        "page_id",
+        "url",
+        F.when(kind == 0, F.encode("html", "UTF-8"))
+        .when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("html", "UTF-8")))
+        .when(kind == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE")))
+        .when(kind == 3, F.concat(F.unhex(F.lit("FEFF")), F.encode("html", "UTF-16BE")))
+        .otherwise(F.encode(F.translate(declared, high, latin), "ISO-8859-1"))
+        .alias("content"),
+    )
+
+
 def form_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(c_custkey, url)``: addresses as the search form makes them, fields left out at times."""
     key = F.col("c_custkey")
