@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fencewatch.llm.common import _powers_to, filtered_by, flat_text, key_filter, mix, perhaps_there, span_hashes, steps, word_bounds
+from fencewatch.operators.keyed import aggregate_per_key
 from fencewatch.sources.scratch import written
 
 _SPAN = "struct<start:int,mask:bigint>"
@@ -280,16 +281,16 @@ def duplicate_spans(documents: DataFrame, rule: SpanRule = SpanRule()) -> DataFr
     ``text_hash`` is xxhash64 of the text. Rows without id or text are in no row. Repeated rows are one.
     """
     known = written(_known(documents, rule), "anchors")
-    spread = known.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    spread = aggregate_per_key(known, ["anchor"], F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     held = written(known.join(spread.where("low < high").select("anchor"), "anchor", "left_semi"), "shared-anchors")
     first = F.min(F.struct("doc_id", "text_hash", "start", "windows")).alias("first")
     passages = written(held.groupBy("anchor", "passage").agg(first).select("anchor", "passage", "first.*"), "passages")
 
-    groups = passages.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    groups = aggregate_per_key(passages, ["anchor"], F.count("*").alias("n")).where("n > 1")
     wanted = passages.join(groups, "anchor").withColumn("hot", F.col("n") > rule.passages)
     texts = written(_read_again(documents, wanted, rule), "passage-words")
     windows = texts.where("offset >= 0").select("key", "passage", "doc_id", "offset")
-    lows = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    lows = aggregate_per_key(windows, ["key"], F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     bit = F.expr("bit_or(shiftleft(1L, offset))").alias("mask")
     lengthened = windows.join(lows.select("key", "low"), "key").where("doc_id > low").groupBy("passage").agg(bit)
     masks = _parsed(texts, rule).unionByName(lengthened)
