@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fencewatch.operators.lookup import bitmap_rows
+
 #: Text bytes that one step in a task looks at together; a longer text is a step of its own.
 STEP_BYTES = 2_000_000
 
@@ -146,46 +148,34 @@ def text_of(batch: pa.RecordBatch, text: str = "text") -> pa.Array:
     return batch.column(batch.schema.get_field_index(text))
 
 
-#: 64-bit words of a key filter: 2 MB whatever the number of keys.
-FILTER_WORDS = 1 << 18
-
-
-def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    spread = mix(keys.view(np.uint64))
-    return (spread % np.uint64(FILTER_WORDS)).astype(np.int64), np.uint64(1) << (spread >> np.uint64(58))
+#: Bits of a key filter for each key, and of the largest filter: 64 MB.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 29
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit set for each long in the frame's only column.
+    """A bitmap with a bit set for each long in the frame's only column, as bytes; sized by the number of keys.
 
-    It says "certainly not there" or "perhaps there". What passes still goes through an exact join, so that a
-    full bitmap costs speed and never changes a result.
+    It says "certainly not there" or "perhaps there". What passes still goes through an exact join, so that a bitmap that
+    would have to be larger than allowed, and is fuller instead, costs speed and never changes a result. Keys are
+    counted and read again: they should be a stored table.
     """
-    name = keys.columns[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(FILTER_WORDS, np.uint64)
-        for batch in batches:
-            at, bit = _bits(batch.column(0).drop_null().to_numpy(zero_copy_only=False))
-            np.bitwise_or.at(words, at, bit)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["word", "bits"])
-
-    part = keys.select(name).mapInArrow(run, "word long, bits long")
-    rows = part.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(FILTER_WORDS, np.uint64)
-    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return words
+    wanted = keys.count() * FILTER_BITS
+    bits = min(max(1 << 15, 1 << max(wanted - 1, 0).bit_length()), MOST_FILTER_BITS)
+    made = np.zeros(bits // 8, np.uint8)
+    for row in bitmap_rows(keys.select(F.col(keys.columns[0]).alias("hash")).dropna(), bits).collect():
+        part = np.frombuffer(row["__bitmap"], np.uint8)
+        made[row["__bucket"] * len(part) : (row["__bucket"] + 1) * len(part)] = part
+    return made
 
 
-def perhaps_there(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at, bit = _bits(np.ascontiguousarray(keys))
-    return (words[at] & bit) != 0
+def perhaps_there(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = np.ascontiguousarray(keys).view(np.uint64) & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
 
-def filtered_by(frame: DataFrame, words: np.ndarray, key: str, there: bool) -> DataFrame:
+def filtered_by(frame: DataFrame, bitmap: np.ndarray, key: str, there: bool) -> DataFrame:
     """The rows whose key is perhaps (or certainly not) among the filter's; null keys are never among them."""
-    shared = frame.sparkSession.sparkContext.broadcast(words)
+    shared = frame.sparkSession.sparkContext.broadcast(bitmap)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,7 +57,7 @@ def _near_copies():
     return rows
 
 
-@pytest.mark.parametrize("rule", [jaccard.JaccardRule(), jaccard.JaccardRule(unit=150, buckets=16)])
+@pytest.mark.parametrize("rule", [jaccard.JaccardRule(), jaccard.JaccardRule(unit=150, sample=20, frequent=2, overlap=1, share=1000, block=3)])
 def test_components_equal_those_of_all_pairs(spark, rule):
     rows = _near_copies() + odd_documents()
     got = jaccard.near_duplicates(with_clashes(spark, rows, "doc_id long, text string"), rule).collect()
