@@ -11,8 +11,11 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Elements whose content is never text of the page.
-_HIDDEN = frozenset("script style template noscript iframe svg math object canvas audio video title textarea xmp noembed noframes".split())
+#: Elements whose content is never text of the page; an open one of the first two hides all that follows.
+_HIDDEN = frozenset("script style template iframe svg canvas audio video title textarea xmp noembed noframes".split())
+_RAW = frozenset(("script", "style"))
+#: Hidden elements that may hold others of their own kind.
+_NESTING = frozenset(("svg", "template"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html body head address article aside blockquote button caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -49,6 +52,33 @@ def _tokens(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(w.lower() for value in found for w in _WORD.findall(value)))
 
 
+def _hidden_end(source: str, at: int, name: str, parent: str) -> int:
+    """Where the content of a hidden element ends that begins at ``at``.
+
+    A script or style sheet that is never closed hides the rest. Any other element ends with its parent: where that, or
+    another of its own kind, comes before its end tag, it has no content at all and hides nothing.
+    """
+    if name in _RAW:
+        end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, at)
+        return end.end() if end else len(source)
+    marks = re.compile(rf"<(/?)({name}|{parent})\b[^>]*>", re.IGNORECASE)
+    depth = {name: 1, parent: 1}
+    for mark in marks.finditer(source, at):
+        kind = mark[2].lower()
+        if not mark[1]:
+            if kind == name and name not in _NESTING:
+                break
+            if not mark[0].endswith("/>"):
+                depth[kind] += 1
+            continue
+        depth[kind] -= 1
+        if kind == name and depth[name] == 0:
+            return mark.end()
+        if kind == parent and depth[parent] == 0:
+            break
+    return at
+
+
 def read_page(source: str) -> Page:
     """Elements left open are closed where their parent or a sibling of their kind demands it."""
     page = Page()
@@ -93,8 +123,7 @@ def read_page(source: str) -> Page:
         attributes = tag[3]
         if name in _HIDDEN:
             if not attributes.endswith("/") or name in ("script", "style", "title"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else size
+                at = _hidden_end(source, at, name, stack[-1][0])
             continue
         block = stack[-1][1]
         if name in _VOID:
