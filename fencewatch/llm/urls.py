@@ -11,6 +11,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fencewatch.sources.scratch import written
+
 BLOCK, ALLOW = "block", "allow"
 _BAD = "label:bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,9 +20,11 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Mining:
-    """A rule needs this share of all URLs, this confidence, and this much more of it than a shorter rule has."""
+    """A rule needs this share of all labelled URLs and this many of them, this confidence, and this much more of it than a
+    shorter rule has."""
 
     support: float = 0.002
+    least: int = 10
     confidence: float = 0.5
     gain: float = 0.05
 
@@ -72,46 +76,91 @@ def items(url: Column) -> Column:
         F.concat(
             named("scheme", F.filter(F.array(F.lower(scheme)), lambda w: w != "")),
             named("host", words(name, r"[.]")),
-            named("part", words(name, r"[.-]")),
+            named("part", F.flatten(F.transform(F.filter(words(name, r"[.]"), lambda w: F.contains(w, F.lit("-"))), lambda w: words(w, "-")))),
             named("path", words(place, r"[/._-]")),
             named("query", words(query, r"[&#=]")),
         )
     )
 
 
+def _baskets(labelled: DataFrame) -> DataFrame:
+    """(url, items, bad) of the different labelled URLs; one with both labels is bad."""
+    known = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull())
+    return known.groupBy("url").agg(F.max("bad").alias("bad")).withColumn("items", items(F.col("url"))).where(F.size("items") > 0)
+
+
+def _twins(baskets: DataFrame) -> DataFrame:
+    """(token, key): tokens that the same URLs have, by one of them each.
+
+    A family of equal long URLs would otherwise make every subset of its tokens a frequent combination. URLs
+    are told apart by two 64-bit sums of their hashes.
+    """
+    tokens = baskets.select("url", F.explode("items").alias("token"))
+    marks = tokens.groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("url")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "url")).alias("y")
+    )
+    first = marks.groupBy("n", "x", "y").agg(F.min("token").alias("key"))
+    return written(marks.join(first, ["n", "x", "y"]).select("token", "key", F.col("n").alias("freq")), "url-tokens")
+
+
 def mined_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """(antecedent, key, confidence, support) of token combinations whose URLs are mostly bad.
 
-    ``labelled`` has url and bad (boolean). FP-growth finds the frequent combinations; rules below
-    the support or confidence are dropped, and so is a rule that contains a shorter one of nearly
-    the same confidence. Support bounds the number of rules whatever the size of the input. ``key``
-    is the token by which the inverted index finds the rule: its rarest.
+    ``labelled`` has url and bad (boolean); repeated URLs count once. FP-growth finds the frequent combinations; rules
+    below the support or confidence are dropped, and so is a rule that contains a shorter one of nearly the same
+    confidence. Support bounds the number of rules whatever the size of the input, the least count that of a
+    small one. Tokens that always come together are mined as one: each is a rule by itself where the one is, and
+    longer combinations have the one that stands for them. ``key`` is the token by which the inverted index
+    finds the rule: its rarest.
     """
     spark = labelled.sparkSession
-    baskets = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(
-        F.concat(items(F.col("url")), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
-    ).where(F.size("items") > 0)
-    if baskets.isEmpty():
-        return spark.createDataFrame([], "antecedent array<string>, key string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=mining.support, minConfidence=mining.confidence).fit(baskets)
-    rules = model.associationRules.where(
-        (F.col("consequent") == F.array(F.lit(_BAD))) & (F.size("antecedent") > 0)
-    ).select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("key"), "freq")
+    baskets = written(_baskets(labelled), "url-baskets")
+    n = baskets.count()
+    none = "antecedent array<string>, key string, confidence double, support double"
+    if n < mining.least:
+        return spark.createDataFrame([], none)
+    support = max(mining.support, mining.least / n)
+    twins = _twins(baskets)
+    common = twins.where((F.col("token") == F.col("key")) & (F.col("freq") >= F.lit(support * n)))
+    mined = (
+        baskets.select("url", "bad", F.explode("items").alias("key"))
+        .join(common.select("key"), "key", "left_semi")
+        .groupBy("url", "bad")
+        .agg(F.collect_list("key").alias("items"))
+        .select(F.concat("items", F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    )
+    mined = written(mined, "mined-baskets")
+    if mined.isEmpty():
+        return spark.createDataFrame([], none)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Baskets without a common token are left out, so that the share is of those that are left.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n / mined.count()), numPartitions=parts).fit(mined)
+    sets = written(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq"), "url-itemsets")
+    bad = sets.where(F.array_contains("items", _BAD) & (F.size("items") > 1)).select(
+        F.array_remove("items", _BAD).alias("antecedent"), F.col("freq").alias("bad")
+    )
+    rules = bad.join(sets.withColumnRenamed("items", "antecedent"), "antecedent").select(
+        "antecedent", (F.col("bad") / F.col("freq")).alias("confidence"), (F.col("bad") / F.lit(n)).alias("support")
+    )
     keyed = (
-        rules.select("*", F.explode("antecedent").alias("key"))
-        .join(single, "key")
+        rules.where(F.col("confidence") >= mining.confidence)
+        .select("*", F.explode("antecedent").alias("key"))
+        .join(common.select("key", "freq"), "key")
         .groupBy("antecedent", "confidence", "support")
         .agg(F.min(F.struct("freq", "key"))["key"].alias("key"))
     )
-    # A shorter rule inside a longer one shares its own rarest token with it.
+    keyed = written(keyed, "url-rules")
+    # A shorter rule inside a longer one is found under one of the longer one's tokens.
     longer = keyed.select(F.col("antecedent").alias("longer"), F.col("confidence").alias("c"), F.explode("antecedent").alias("key"))
     idle = longer.join(keyed.select("antecedent", "confidence", "key"), "key").where(
         (F.size("antecedent") < F.size("longer"))
         & (F.size(F.array_except("antecedent", "longer")) == 0)
         & (F.col("c") < F.col("confidence") + mining.gain)
     )
-    return keyed.join(idle.select(F.col("longer").alias("antecedent")).distinct(), "antecedent", "left_anti")
+    kept = keyed.join(idle.select(F.col("longer").alias("antecedent")).distinct(), "antecedent", "left_anti")
+    single = kept.where(F.size("antecedent") == 1).join(twins.select("key", "token"), "key")
+    alone = single.select(F.array("token").alias("antecedent"), F.col("token").alias("key"), "confidence", "support")
+    return written(kept.where(F.size("antecedent") > 1).select(alone.columns).unionByName(alone), "url-rules")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
