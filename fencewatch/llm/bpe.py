@@ -9,7 +9,7 @@ sequence of its words' ids.
 from __future__ import annotations
 
 import json
-import unicodedata
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +22,7 @@ from fencewatch.llm.common import steps, texts
 #: Unicode white space; the vocabulary's rules part words there. Fixed values.
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = regex.compile(f"[^{_BLANK}]+")
-#: How this family of vocabularies parts words after lower-casing; fixed with the vocabulary.
+#: How this family of vocabularies parts words of ASCII text after lower-casing; fixed with the vocabulary.
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
 _NONE = np.int32(2**31 - 1)
 #: Words whose ids a task keeps; the store starts afresh beyond, which costs time only.
@@ -40,14 +40,19 @@ class WordBpe:
     """Encodes and decodes with a vocabulary file whose words end in a suffix."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as file:
             stored = json.load(file)
+        self._library = Tokenizer.from_file(path)
         model = stored["model"]
         ids = model["vocab"]
         end = model.get("end_of_word_suffix") or ""
         self._special = {token["content"]: token["id"] for token in stored["added_tokens"]}
         self._at_special = regex.compile("|".join(map(regex.escape, self._special)) or r"(?!)")
         letters = byte_letters()
+        self._byte_of = {letter: byte for byte, letter in enumerate(letters)}
         self._inner = np.array([ids[c] for c in letters], np.int64)
         self._final = np.array([ids[c + end] for c in letters], np.int64)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -111,10 +116,6 @@ class WordBpe:
         cuts = (np.searchsorted(owner[order], np.arange(len(words) + 1)) * 4).tolist()
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
-    def _lower(self, text: str) -> str:
-        # Letter by letter where Python's rule would look at the letters around.
-        return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
-
     def _words(self, chunk: str) -> list[str | int]:
         """Words of a text without blanks; a special token is its id."""
         words: list[str | int] = []
@@ -126,7 +127,15 @@ class WordBpe:
         return words + self._plain_words(chunk[at:])
 
     def _plain_words(self, text: str) -> list[str]:
-        return _WORD.findall(self._lower(unicodedata.normalize("NFC", text))) if text else []
+        """Words of a text without blanks and special tokens.
+
+        Letters, their lower case and their composition are those of the library's version of Unicode, so texts beyond ASCII
+        are normalized and parted by the library; merging is done here.
+        """
+        if text.isascii():
+            return _WORD.findall(text.lower())
+        parts = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+        return [bytes(map(self._byte_of.__getitem__, part)).decode() for part, _ in parts]
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self._chunks) > KEPT_WORDS:
