@@ -275,6 +275,39 @@ def test_markup_is_read_leniently():
     assert read("<p>unclosed <a href='x>" + "y" * 1000) != "" and read("<" * 50_000) == "<" * 50_000
 
 
+@pytest.mark.parametrize(
+    "source, wanted",
+    [
+        ("<article><video src=x><p>a</p><p>b</p></article><p>c</p>", "a b c"),
+        ("<article><p>a</p><audio><source src=x></p><p>b</p></article>", "a b"),
+        ("<div><video>old browser</video>a<video src=x></div><video>no</video>b", "a b"),
+        ("<p>a<svg><svg><text>x</text></svg><title>y</title></svg>b</p>", "ab"),
+        ("<p>a<svg>b</p><p>c</p>", "ab c"),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p>", "a x=1 b"),
+        ("<p>a <object data=x>b</object> <noscript>c</noscript> d</p>", "a b c d"),
+        ("<p><object data=x>a</p><p>b</p>", "a b"),
+        ("<p><noscript>a<p>b", "a b"),
+        ("<article><iframe src=x><p>a</p></article>b", "a b"),
+        ("<article><iframe src=x>no</iframe><p>a</p></article>b", "a b"),
+        ("<div><div><canvas>a</div>b</div>c", "a b c"),
+        ("<video><div>no</div></video>a", "a"),
+        ("<div><video><div>no</div></video>a</div>", "a"),
+        ("<p>a<textarea>b</p>c", "ab c"),
+        ("<head><title>t<body>a", "ta"),
+        ("<p>a<script>b</p>c", "a"),
+        ("<p>a<style>b</p>c", "a"),
+    ],
+)
+def test_hidden_elements_that_are_not_closed_hide_nothing_else(source, wanted):
+    page = dom.read_page(source)
+    assert dom.joined(page, [True] * len(page.tag)).replace(" ", "") == wanted.replace(" ", "")
+
+
+def test_many_open_media_elements_take_linear_time():
+    page = dom.read_page("<video src=x><p>a</p>" * 20_000)
+    assert len(page.tag) == 20_001
+
+
 def test_pages_without_text(spark):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<html><body><nav><a href=/>x</a></nav></body></html>"), (2, "u", "")]
     frame = with_clashes(spark, rows, "page_id long, url string, html string")
@@ -321,6 +354,65 @@ def test_mined_rules_block_combinations_and_nothing_else(spark):
     assert sorted((r["page_id"], r["verdict"]) for r in got) == [(0, "block"), (0, "block"), (1, "allow"), (2, "allow"), (3, "allow"), (4, "allow")]
 
 
+def _plain_rules(rows, mining):
+    """Rules by trying every combination of tokens that stand for others."""
+    import itertools
+
+    bad = {}
+    for url, b in rows:
+        bad[url] = bad.get(url, False) or b
+    tokens = {}
+    for url in bad:
+        scheme, rest = url.split("://")
+        host, *path = rest.split("/")
+        found = {"scheme:" + scheme, *("host:" + h for h in host.split("."))}
+        found |= {"part:" + w for h in host.split(".") if "-" in h for w in h.split("-")}
+        found |= {"path:" + w for part in path for w in part.split("-") if w and not w.isdigit()}
+        for t in found:
+            tokens.setdefault(t, set()).add(url)
+    twins = {}
+    for t in sorted(tokens):
+        twins.setdefault(frozenset(tokens[t]), []).append(t)
+    least = max(mining.support * len(bad), mining.least)
+    single = {names[0]: urls for urls, names in twins.items() if len(urls) >= least}
+    rules = {}
+    for size in range(1, len(single) + 1):
+        for names in itertools.combinations(sorted(single), size):
+            held = frozenset.intersection(*(single[n] for n in names))
+            n_bad = sum(bad[u] for u in held)
+            if n_bad >= least and n_bad / len(held) >= mining.confidence:
+                rules[frozenset(names)] = n_bad / len(held)
+    kept = {r for r, c in rules.items() if not any(s < r and c < d + mining.gain for s, d in rules.items())}
+    alone = {names[0]: names for names in twins.values()}
+    return {(t,) for r in kept if len(r) == 1 for t in alone[next(iter(r))]} | {tuple(sorted(r)) for r in kept if len(r) > 1}
+
+
+@pytest.mark.parametrize("least", [1, 4])
+def test_mined_rules_equal_those_of_all_combinations(spark, least):
+    draw = random.Random(least)
+    words = ["pills", "win", "news", "deal", "blog"]
+    rows = []
+    for i in range(160):
+        path = sorted(set(draw.choices(words, k=draw.randint(1, 3))))
+        host = draw.choice(["a-b.org", "shop.net", "x.shop.net"])
+        rows.append((f"http://{host}/{'-'.join(path)}/{i}", draw.random() < (0.9 if {"pills", "win"} <= set(path) else 0.15)))
+    rows += rows[:20]
+    mining = urls.Mining(support=0.02, least=least, confidence=0.6)
+    rules = urls.mined_rules(spark.createDataFrame(rows, "url string, bad boolean"), mining).collect()
+    assert {tuple(r["antecedent"]) for r in rules} == _plain_rules(rows, mining) and len(rules) == len({tuple(r["antecedent"]) for r in rules})
+    assert all(r["key"] in r["antecedent"] for r in rules)
+
+
+def test_long_urls_and_few_labels_are_mined_in_bounded_work(spark):
+    long = "/".join(f"word{'abcdefghij'[i % 10]}{'klmno'[i // 10]}" for i in range(40))
+    rows = [(f"http://h.org/{long}/{i}", True) for i in range(30)] + [(f"http://g.org/b/{i}", False) for i in range(30)]
+    rules = urls.mined_rules(spark.createDataFrame(rows, "url string, bad boolean"), urls.Mining()).collect()
+    assert {tuple(r["antecedent"]) for r in rules if "scheme:http" not in r["antecedent"]} >= {("host:h",)} | {(f"path:{w}",) for w in long.split("/")}
+    assert len(rules) < 100
+    few = [(f"http://{i}.org/{long}", i % 2 == 0) for i in range(9)]
+    assert urls.mined_rules(spark.createDataFrame(few, "url string, bad boolean"), urls.Mining()).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables not there")
 def test_url_query_has_no_python_in_its_plan(spark):
     plan = QUERIES["op8_url_rules"](spark, DATA)._jdf.queryExecution().toString()

@@ -197,6 +197,18 @@ def test_byte_pairs_equal_the_library(spark, odd):
         assert own.decode(np.array(wanted, np.int64)) == library.decode(wanted, skip_special_tokens=False)
 
 
+def test_every_code_point_gets_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(WORDS), bpe.WordBpe(WORDS)
+    dense = [c for c in range(0x20000) if not (0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A0 or 0xD800 <= c < 0xF900)]
+    points = dense + [*range(0x3400, 0xA000, 97), *range(0xAC00, 0xD7A0, 97), *range(0xE000, 0xF900, 97), *range(0x20000, 0x110000, 97)]
+    rows = [f"a{chr(c)}B {chr(c)}{chr(c)}'s 1{chr(c)}\u0301" for c in points]
+    wanted = [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+    wrong = [hex(c) for c, a, b in zip(points, own.encode(rows), wanted) if np.frombuffer(a, "<i4").tolist() != b]
+    assert not wrong, wrong[:20]
+
+
 def test_byte_pairs_on_odd_rows(odd, empty):
     rows = bpe.encoded(odd, WORDS).collect()
     assert len(rows) == len(odd_documents())
