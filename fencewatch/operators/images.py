@@ -81,6 +81,11 @@ def nested_image_results(counted: DataFrame) -> DataFrame:
     return grouped.select("listing_id", wire.alias("images"))
 
 
+def location_urls(html: Column) -> Column:
+    """The different addresses at which an image was found, as one answer page lists them."""
+    return F.array_distinct(F.regexp_extract_all(html, F.lit(_LOCATION), 1))
+
+
 def match_locations(pages: DataFrame) -> DataFrame:
     """Where each looked-up image was found: ``(image_uri, original_url)``, each pair once.
 
@@ -89,8 +94,7 @@ def match_locations(pages: DataFrame) -> DataFrame:
     """
     keep = [name for name in ("fetched_at",) if name in pages.columns]
     succeeded = F.col("http_status").between(200, 299)
-    urls = F.array_distinct(F.regexp_extract_all("html", F.lit(_LOCATION), 1))
-    found = pages.select("image_uri", *keep, F.when(succeeded, urls).alias("urls"))
+    found = pages.select("image_uri", *keep, F.when(succeeded, location_urls(F.col("html"))).alias("urls"))
     order = [F.col(name).desc_nulls_last() for name in keep]
     newest = newest_per_key(found, "image_uri", order)
     return newest.select("image_uri", F.explode("urls").alias("original_url"))

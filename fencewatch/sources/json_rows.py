@@ -21,3 +21,17 @@ def read_json_rows(
 def object_fields(json: Column) -> Column:
     """Fields of a flat JSON object in a column, as a map of text."""
     return F.from_json(json, "map<string,string>")
+
+
+def array_rows(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """Cells that hold a JSON array of flat objects, as ``(*keep, pos, fields)``, one row per object.
+
+    ``fields`` lists (name, value) with the names of the cell's first object, in its order: an object that
+    lacks one has NULL there, further names of later objects are not shown. Values are text; nested ones stay
+    JSON. A NULL cell, an empty array and text that is no array have no rows.
+    """
+    entries = F.from_json(F.col(column), "array<string>")
+    rows = df.select(*keep, F.json_object_keys(entries[0]).alias("__names"), F.posexplode(entries).alias("pos", "__entry"))
+    values = rows.withColumn("__values", F.from_json("__entry", "map<string,string>"))
+    field = F.transform("__names", lambda name: F.struct(name.alias("name"), F.try_element_at("__values", name).alias("value")))
+    return values.select(*keep, "pos", field.alias("fields"))

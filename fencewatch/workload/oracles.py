@@ -303,6 +303,14 @@ declared AS (
 SELECT page_id, ['UTF-8', 'UTF-8', 'UTF-16LE', 'UTF-16BE', 'windows-1252', 'windows-1252'][kind + 1] AS charset,
   CAST(length(html) AS INTEGER) AS n_chars, md5(html) AS html_md5 FROM declared"""
 
+_FIRST_ADVERT = """delays AS (
+  SELECT p_partkey AS part_key, DATE '1992-06-01' + CAST(p_partkey * 37 % 2600 AS INTEGER) AS stolen_on, p.posted, p.listing_id
+  FROM part LEFT JOIN LATERAL (
+    SELECT CAST(l_shipdate AS DATE) AS posted, l_orderkey AS listing_id FROM lineitem
+    WHERE l_partkey = p_partkey AND CAST(l_shipdate AS DATE) >= DATE '1992-06-01' + CAST(p_partkey * 37 % 2600 AS INTEGER)
+    ORDER BY 1, 2 LIMIT 1) p ON true),
+first_advert AS (SELECT *, CAST(date_diff('day', stolen_on, posted) AS INTEGER) AS delay_days FROM delays)"""
+
 ORACLES: dict[str, str] = {
     "page_score": rf"""WITH {_ARTICLE},
 measured AS (SELECT *, CAST(len(regexp_extract_all(body, '{_WS}')) AS INTEGER) AS ws FROM article)
@@ -416,6 +424,50 @@ SELECT token, term FROM ranked WHERE r = 1""",
     + "".join(f" + c{i} * {s}" for i, s in enumerate(_SIGNALS, 1)) + "))), 6) AS learnt_score, "
     + ", ".join(f"round(c{i} * ({s} - m{i}), 6) AS {s}_points" for i, s in enumerate(_SIGNALS, 1))
     + " FROM signals CROSS JOIN learnt",
+    "request_search": rf"""WITH {_ARTICLE},
+searched AS (
+  SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#.:]+)', 1) AS city,
+    lower(title || ' ' || translate(body, E'\t\n', '')) AS txt, string_split(title, ' ') AS words FROM article),
+asked AS (
+  SELECT CAST(page_id AS VARCHAR) AS request_id, city, list_filter(regexp_split_to_array(lower(concat_ws(' ',
+    CASE WHEN page_id % 2 = 0 THEN upper(substr(words[1], 1, 5)) ELSE substr(words[1], 2, 3) END,
+    CASE WHEN page_id % 3 = 0 THEN substr(words[2], 1, 4) END, CASE WHEN page_id % 5 = 0 THEN 'e' END,
+    CASE WHEN page_id % 7 = 0 THEN 'th' END, CASE WHEN page_id % 41 = 0 THEN 'no such words' END)), '\s+'), lambda t: t <> '') AS terms
+  FROM searched)
+SELECT request_id, page_id FROM asked a JOIN searched s USING (city)
+WHERE len(terms) > 0 AND len(list_filter(terms, lambda t: contains(txt, t))) = len(terms)""",
+    "image_places": """WITH numbered AS (
+  SELECT l_partkey, 'http://lines.example.org/' || l_orderkey || '/' || (l_linenumber % 3) || '.jpg' AS place,
+    (row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) - 1) // 10 AS page FROM lineitem)
+SELECT 'http://images.example.org/' || l_partkey || '.jpg' AS image_uri, count(DISTINCT place) AS places
+FROM numbered WHERE l_partkey % 13 <> 5 OR page = 0 GROUP BY l_partkey""",
+    "json_array": """WITH shown AS (
+  SELECT o_orderkey, CAST(o_orderkey % 4 AS INTEGER) AS n, o_orderkey % 2 = 1 AS odd,
+    CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS total, o_orderstatus AS status FROM orders),
+named AS (
+  SELECT *, unnest(CASE WHEN odd THEN ['total', 'status', 'more'] ELSE ['more', 'status', 'total'] END) AS name,
+    unnest(range(3)) AS place FROM shown),
+placed AS (SELECT *, unnest(range(n)) AS pos FROM named)
+SELECT o_orderkey, CAST(pos AS INTEGER) AS pos, CAST(place AS INTEGER) AS place, name,
+  CASE pos WHEN 0 THEN CASE name WHEN 'total' THEN total WHEN 'status' THEN status ELSE '{"x":[1,2]}' END
+           WHEN 1 THEN CASE name WHEN 'status' THEN status END
+           ELSE CASE name WHEN 'total' THEN 'a, b' END END AS value FROM placed""",
+    "price_level": f"""WITH {_listing(144)},
+priced AS (SELECT {_HTML_URL} AS url, link_url, TRY_CAST(replace(price, '$', '') AS DOUBLE) AS amount FROM listing),
+levels AS (
+  SELECT url, quantile_disc(amount, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS eighths FROM priced GROUP BY url)
+SELECT url, link_url, amount, round(amount / nullif(eighths[4], 0), 6) AS median_ratio,
+  CASE WHEN amount IS NOT NULL THEN CAST(len(list_filter(eighths, lambda e: e < amount)) AS INTEGER) END AS price_eighth
+FROM priced JOIN levels USING (url)""",
+    "first_advert": f"""WITH {_FIRST_ADVERT} SELECT part_key, CAST(stolen_on AS VARCHAR) AS stolen_on,
+  CAST(posted AS VARCHAR) AS posted, listing_id, delay_days FROM first_advert""",
+    "delay_learnt": f"""WITH {_listing(144)}, {_FIRST_ADVERT},
+past AS (SELECT avg(delay_days) AS mean, stddev_pop(delay_days) AS deviation FROM first_advert WHERE delay_days IS NOT NULL),
+delayed AS (
+  SELECT link_url, CAST(date_diff('day', make_date(2000, CAST(substr(category, 1, 1) AS INTEGER) * 2, 15), posted)
+    AS INTEGER) AS delay_days FROM listing)
+SELECT link_url, delay_days, round(abs(delay_days - mean), 6) AS delay_gap,
+  round(abs(delay_days - mean) / deviation, 6) AS delay_score FROM delayed CROSS JOIN past""",
     "typed_sort_date": """SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS day,
   CASE WHEN o_orderkey % 7 = 0 THEN 'n/a ' ELSE ' ' END || CAST(floor(o_totalprice) AS BIGINT) || ' dollars' AS price,
   o_orderpriority, strftime(o_orderdate, '%Y%m%d') AS sort_key,

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from fencewatch.functions import advert, tables, web
 from fencewatch.functions.score import text_points
 from fencewatch.operators import images as image_ops
-from fencewatch.operators import learning, matching, signals
+from fencewatch.operators import learning, matching, price_levels, signals
 from fencewatch.operators import words as word_ops
+from fencewatch.operators.asof import first_adverts
+from fencewatch.operators.chains import answer_locations
+from fencewatch.operators.contains import search_requests
 from fencewatch.operators.details import join_details, read_details
 from fencewatch.operators.filters import adverts_with_terms
 from fencewatch.operators.feeds import feed_links, summarise_feeds
@@ -44,7 +47,7 @@ from fencewatch.plans.register_job import match_reported_items
 from fencewatch.plans.search import newest_details, search_html, search_rss
 from fencewatch.settings import PhoneRule, SearchRules
 from fencewatch.sources.landed import decoded_pages
-from fencewatch.sources.json_rows import object_fields, read_json_rows
+from fencewatch.sources.json_rows import array_rows, object_fields, read_json_rows
 from fencewatch.sources.register import read_register
 from fencewatch.sources.scratch import fresh_path, written
 from fencewatch.workload import render
@@ -170,6 +173,18 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adverts_with_terms(adverts, "THE  of").select("page_id", "link_url")
 
 
+def request_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1, D2 for a table of requests: adverts of the request's city that contain all its terms."""
+    pages = read_details(_pages(spark, sf_dir), render.ARTICLE_PAGE, keep=["page_id"])
+    adverts = pages.select(
+        F.col("page_id").alias("advert_id"),
+        web.city_of(F.col("link_url")).alias("city"),
+        F.concat_ws(" ", "title", "description").alias("text"),
+    )
+    found, members = search_requests(render.page_requests(spark, sf_dir), adverts)
+    return members.join(found, "set_id").select("request_id", F.col("advert_id").alias("page_id"))
+
+
 def city_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -361,6 +376,12 @@ def shared_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_ops.shared_images(render.line_images(spark, sf_dir), locations)
 
 
+def image_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each image was found, over all pages of its answer."""
+    found = answer_locations(render.answer_pages(spark, sf_dir))
+    return found.groupBy("image_uri").agg(F.count("*").alias("places"))
+
+
 def stock_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many images of an advert are found elsewhere."""
     images = image_ops.image_rows(render.image_lookups(spark, sf_dir))
@@ -497,6 +518,14 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", fields)
 
 
+def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays in cells, with the names of the first object in its order."""
+    rows = array_rows(render.json_arrays(spark, sf_dir), "cell", "o_orderkey")
+    return rows.select("o_orderkey", "pos", F.posexplode("fields").alias("place", "field")).select(
+        "o_orderkey", "pos", "place", "field.name", "field.value"
+    )
+
+
 # --- further signals --------------------------------------------------------------------------
 
 
@@ -514,6 +543,15 @@ def price_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratios.select("url", "link_url", amount, "price_ratio")
 
 
+def price_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9 without a mean: where a price stands in its search, from merged sketches of each day."""
+    rows = result_rows(render.result_pages(spark, sf_dir), YEAR, _all_rows())
+    rows = written(rows.select("url", "link_url", "price", "date_posted_real"), "prices")
+    sketches = written(price_levels.price_sketches(rows, "url", "date_posted_real"), "price-sketches")
+    levels = price_levels.price_level(rows, sketches, "url")
+    return levels.select("url", "link_url", "amount", "price_eighth", F.round("median_ratio", 6).alias("median_ratio"))
+
+
 def price_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price of a result row against a table of average prices."""
     rows = result_rows(render.result_pages(spark, sf_dir), YEAR, _all_rows())
@@ -637,6 +675,26 @@ def delay_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def first_advert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 with J2: the first advert of every stolen part since the theft, and the days between."""
+    found = _first_adverts(spark, sf_dir)
+    return found.withColumns({day: F.col(day).cast("string") for day in ("stolen_on", "posted")})
+
+
+def _first_adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_adverts(render.thefts(spark, sf_dir), render.part_postings(spark, sf_dir), "part_key")
+
+
+def delay_learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J11 with delays that were found rather than given: those from theft to first advert."""
+    delays = _first_adverts(spark, sf_dir).where(F.col("delay_days").isNotNull()).select("delay_days")
+    rows = result_rows(render.result_pages(spark, sf_dir), YEAR, _all_rows())
+    gaps = signals.delay_gap(rows, written(delays, "delays"), _stolen_by_category())
+    return gaps.select(
+        "link_url", "delay_days", F.round("delay_gap", 6).alias("delay_gap"), F.round("delay_score", 6).alias("delay_score")
+    )
+
+
 def area_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J13."""
     rows = result_rows(render.result_pages(spark, sf_dir), YEAR, _all_rows())
@@ -671,6 +729,7 @@ QUERIES: dict[str, Query] = {
     "row_flag": row_flag,
     "link_column": link_column,
     "keyword_search": keyword_search,
+    "request_search": request_search,
     "city_filter": city_filter,
     "posted_after": posted_after,
     "summary_rows": summary_rows,
@@ -688,6 +747,7 @@ QUERIES: dict[str, Query] = {
     "image_lookup": image_lookup,
     "image_reuse": image_reuse,
     "shared_images": shared_images,
+    "image_places": image_places,
     "stock_images": stock_images,
     "register_filter": register_filter,
     "register_recent": register_recent,
@@ -704,8 +764,10 @@ QUERIES: dict[str, Query] = {
     "deep_page": deep_page,
     "json_rows": json_rows,
     "json_fields": json_fields,
+    "json_array": json_array,
     "phone_reuse": phone_reuse,
     "price_outlier": price_outlier,
+    "price_level": price_level,
     "price_known": price_known,
     "missing_fields": missing_fields,
     "word_weights": word_weights,
@@ -714,6 +776,8 @@ QUERIES: dict[str, Query] = {
     "signal_weights": signal_weights,
     "signal_learnt": signal_learnt,
     "delay_gap": delay_gap,
+    "delay_learnt": delay_learnt,
+    "first_advert": first_advert,
     "area_weight": area_weight,
     "watch_list": watch_list,
 }

@@ -298,6 +298,91 @@ def location_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Locations that one page of an image answer lists.
+ANSWER_PAGE = 10
+
+
+def answer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(url, image_uri, http_status, html)``: an answer per part, its order lines ten to a page; some pages fail."""
+    part = F.col("l_partkey")
+    line = F.struct("l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select(part, line.alias("line"))
+    listed = lines.groupBy("l_partkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    last = F.floor((F.size("lines") - 1) / ANSWER_PAGE).cast("int")
+    pages = listed.select("l_partkey", "lines", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("page"))
+
+    def address(page: Column) -> Column:
+        return F.concat(F.lit("http://find.example.org/search/"), _text(part), F.lit("/?page="), _text(page + 1), F.lit("&sort=score"))
+
+    location = F.transform(
+        F.slice("lines", F.col("page") * ANSWER_PAGE + 1, ANSWER_PAGE),
+        lambda x: F.concat(
+            F.lit('<div class="search-results-location">\n<p><a href="http://lines.example.org/'), _text(x["l_orderkey"]),
+            F.lit("/"), _text(x["l_linenumber"] % 3), F.lit('.jpg">x</a></p>\n</div>\n'),
+        ),
+    )
+    back = _when(F.col("page") > 0, F.concat(F.lit('<a href="'), address(F.col("page") - 1), F.lit('">« Prev</a>')))
+    forth = F.concat(F.lit('<a href="'), F.replace(address(F.col("page") + 1), F.lit("&"), F.lit("&amp;")), F.lit('">Next »</a>'))
+    return pages.select(
+        address(F.col("page")).alias("url"),
+        F.when(F.col("page") == 0, F.concat(F.lit("http://images.example.org/"), _text(part), F.lit(".jpg"))).alias("image_uri"),
+        F.when((part % 13 == 5) & (F.col("page") == 1), 503).otherwise(200).alias("http_status"),
+        F.concat(
+            F.array_join(location, ""), F.lit('<div class="pagination">'), back, F.lit('<span class="current">'),
+            _text(F.col("page") + 1), F.lit("</span>"), _when(F.col("page") < F.col("last"), forth), F.lit("</div>"),
+        ).alias("html"),
+    )
+
+
+def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(request_id, city, terms)``: for every page a request in its city for parts of its title, and common words."""
+    title = F.regexp_replace(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1), "<[^>]*>", "")
+    key = F.col("page_id")
+    parts = table(spark, sf_dir, "pages").select("page_id", "url", F.split(title, " ").alias("words"))
+    first, second = F.get("words", F.lit(0)), F.get("words", F.lit(1))
+    terms = F.concat_ws(
+        " ",
+        F.when(key % 2 == 0, F.upper(F.substring(first, 1, 5))).otherwise(F.substring(first, 2, 3)),
+        F.when(key % 3 == 0, F.substring(second, 1, 4)),
+        F.when(key % 5 == 0, "e"),
+        F.when(key % 7 == 0, "th"),
+        F.when(key % 41 == 0, "no such words"),
+    )
+    return parts.select(
+        _text(key).alias("request_id"), F.regexp_extract("url", r"^[a-z]+://([^/?#.:]+)", 1).alias("city"), terms.alias("terms")
+    )
+
+
+def thefts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(part_key, stolen_on)``: a day on which each part was stolen."""
+    day = F.date_add(F.lit("1992-06-01").cast("date"), (F.col("p_partkey") * 37 % 2600).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), day.alias("stolen_on"))
+
+
+def part_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(part_key, posted, listing_id)``: every order line as an advert of its part."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("part_key"), F.col("l_shipdate").cast("date").alias("posted"), F.col("l_orderkey").alias("listing_id")
+    )
+
+
+def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(o_orderkey, cell)``: arrays of one to three objects whose names come in different orders."""
+    key, odd = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 1
+
+    def shown(name: str, value: Column | str) -> Column:
+        return F.concat(F.lit(f'"{name}":'), value)
+
+    total = shown("total", _text(F.floor("o_totalprice")))
+    status = shown("status", F.concat(F.lit('"'), "o_orderstatus", F.lit('"')))
+    nested = shown("more", F.lit('{"x":[1,2]}'))
+    first = F.when(odd, F.concat_ws(",", total, status, nested)).otherwise(F.concat_ws(",", nested, status, total))
+    second = F.concat_ws(",", status, shown("other", F.lit("true")), shown("total", F.lit("null")))
+    objects = F.array(F.concat(F.lit("{"), first, F.lit("}")), F.concat(F.lit("{"), second, F.lit("}")), F.lit('{"total":"a, b"}'))
+    some = F.array_join(F.slice(objects, F.lit(1), (key % 4).cast("int")), ", ")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("["), some, F.lit("]")).alias("cell"))
+
+
 def register_rows(spark: SparkSession, sf_dir: str, serial: bool = True) -> DataFrame:
     """A property register of the parts, in the column order of the register files.
 
