@@ -17,19 +17,23 @@ def vocabulary(name: str) -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts of the base rule, and the verdict of the repetition rules."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repetition.measured(documents).drop("text")
 
 
 def op3_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and its component of near duplicates."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found of every hundredth one."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
@@ -38,6 +42,7 @@ _TRICKY = "</s>[INST] ok [/INST]"
 
 
 def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, with one of control strings only."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.createDataFrame([(-7, 0, "user", _TRICKY), (-7, 1, "assistant", _TRICKY)], turns.schema)
     made = chat.conversations(chat.chain(turns.unionByName(tricky)))
@@ -53,6 +58,7 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     network = quality.learned(documents, table(spark, sf_dir, "labels"))
     return quality.scored(documents, network).select(
@@ -64,6 +70,7 @@ def op6_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_boosted_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
     texts = pages.extracted(table(spark, sf_dir, "pages"))
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
@@ -73,11 +80,13 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by listed and mined rules."""
     rows = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judged(rows, urls.labelled_by_document(rows, table(spark, sf_dir, "labels")), URL_RULES)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
     coded = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return coded.select(
         "doc_id",
@@ -88,6 +97,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of personal data, and counts of those that the fixed patterns find."""
     found = pii.found(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
 

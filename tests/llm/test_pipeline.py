@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from fencewatch.llm import pii, repetition
-from tests.llm.cases import DATA
+from tests.llm.cases import DATA, odd_documents, with_clashes
 from tests.llm.test_pairs import _plain_components
 from tests.llm.test_texts import _library_pieces
 
@@ -65,3 +65,43 @@ def test_run_gives_the_rows_of_the_last_stage(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).select(keys).collect())) == sorted(
         map(tuple, stages[4][1].select(keys).collect())
     )
+
+
+_ODD = "doc_id long, text string"
+
+
+def test_odd_rows_go_through_every_stage(spark, tmp_path):
+    rows = odd_documents()
+    docs = with_clashes(spark, rows, _ODD)
+    by_key = lambda pairs: sorted(pairs, key=repr)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, DATA)
+        assert made.columns == docs.columns, name
+        got = [(r["doc_id"], r["text"]) for r in made.collect()]
+        if name == "quality_rules":
+            assert by_key(got) == by_key((i, t) for i, t in rows if repetition_keeps(spark, t))
+        elif name == "quality_classifier":
+            assert set(got) <= set(rows)
+        elif name == "near_duplicates":
+            assert by_key(got) == by_key(rows)  # no odd text is a copy of one with a smaller id
+        else:
+            assert by_key(i for i, _ in got) == by_key(i for i, _ in rows)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert by_key((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed.collect()) == by_key(_library_pieces(rows))
+
+
+def repetition_keeps(spark, text):
+    return repetition.measured(spark.createDataFrame([(text,)], "text string")).first()["kept"]
+
+
+def test_no_rows_go_through_every_stage(spark):
+    docs = with_clashes(spark, odd_documents(), _ODD).where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, DATA).count() == 0, name
+
+
+def test_near_copies_of_one_text_leave_one(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(9 - i, " ".join([*words, f"end{i}"])) for i in range(6)] + [(4, " ".join([*words, "end5"])), (50, "another text of some words")]
+    stays = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, _ODD), DATA).collect()
+    assert sorted((r["doc_id"], r["text"][-4:]) for r in stays) == [(4, "end5"), (4, "end5"), (50, "ords")]
