@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences: five stages, each written before the next reads it."""
+"""From raw documents to packed training sequences: five stages, each written before the next reads it.
+
+What becomes of unusual rows: a null, empty or blank text has too few words and goes in the first stage, where a stage is
+run by itself it is an empty text (no group of copies, no personal data, a packed end sign alone). A null
+doc_id is kept by every stage. Repeated rows are judged alike; of rows with the same id and text that are a
+copy of a smaller id's, none stays, of rows of the id that stays, all. Other columns go through as they are, whatever their
+names. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
