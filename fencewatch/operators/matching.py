@@ -81,10 +81,22 @@ def texts_with_all_terms(
 ) -> DataFrame:
     """``items(item_id, terms)`` and ``texts(text_id, text)`` to ``(item_id, text_id)`` pairs.
 
-    A pair is made when every term of the item is a word of the text. Terms also listed in the
-    item's ``fuzzy_column`` array may be one letter off. ``text_id`` and ``item_id`` are unique.
-    Items without terms match nothing. Items with the same terms are matched once and only get
-    their ids back at the end.
+    As :func:`sets_in_texts`, with the ids of all items of a set. Where many items ask for the same
+    words that many texts have, this is the product of both: such results are better kept as sets.
+    """
+    matches, members = sets_in_texts(items, texts, fuzzy_column, min_length)
+    return members.join(matches, "set_id").select("item_id", "text_id")
+
+
+def sets_in_texts(
+    items: DataFrame, texts: DataFrame, fuzzy_column: str | None = None, min_length: int = 4
+) -> tuple[DataFrame, DataFrame]:
+    """``(set_id, text_id)`` of texts with all terms of a set, and ``(item_id, set_id, terms)``.
+
+    ``items(item_id, terms)``, ``texts(text_id, text)``. A text matches when every term of the set is a
+    word of it. Terms also listed in the item's ``fuzzy_column`` array may be one letter off. ``text_id``
+    and ``item_id`` are unique. Items without terms match nothing. Items with the same terms are one set,
+    which is matched once.
     """
     terms = F.array_sort(F.array_distinct("terms"))
     no_terms = F.array().cast("array<string>")
@@ -93,13 +105,11 @@ def texts_with_all_terms(
         "set_id", F.sha2(F.to_json(F.struct("terms", "fuzzy_terms")), 256)
     )
     keyed = written(keyed, "items")
-    matched = _sets_in_texts(keyed, texts, fuzzy_column is not None, min_length)
-    return keyed.select("item_id", "set_id").join(matched, "set_id").select("item_id", "text_id")
+    matched = _matches(keyed, texts, fuzzy_column is not None, min_length)
+    return matched, keyed.select("item_id", "set_id", "terms")
 
 
-def _sets_in_texts(
-    keyed: DataFrame, texts: DataFrame, any_fuzzy: bool, min_length: int
-) -> DataFrame:
+def _matches(keyed: DataFrame, texts: DataFrame, any_fuzzy: bool, min_length: int) -> DataFrame:
     """Pairs ``(set_id, text_id)`` for each different set of terms."""
     sets = keyed.select("set_id", "terms", "fuzzy_terms").dropDuplicates(["set_id"])
     wanted = sets.select(
@@ -110,7 +120,9 @@ def _sets_in_texts(
     ).select(
         "set_id", "term", "n_terms", F.array_contains("fuzzy_terms", F.col("term")).alias("fuzzy")
     )
-    tokens = texts.select("text_id", F.explode(words(F.col("text"))).alias("token"))
+    # Texts are taken apart once; their words are read for counting, for candidates and for the check.
+    worded = written(texts.select("text_id", words(F.col("text")).alias("words")), "text-words")
+    tokens = worded.select("text_id", F.explode("words").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("texts_with"))
 
     spellings = _spellings_in_use(wanted, frequency, any_fuzzy, min_length)
@@ -122,23 +134,15 @@ def _sets_in_texts(
         F.max("n_terms").alias("n_terms"),
     )
     # A set with a term that no text has cannot match.
-    possible = per_set.where(F.col("n_found") == F.col("n_terms"))
-    entry = possible.select(
-        "set_id", "needed", F.col("rarest.tokens").alias("entry_tokens")
-    ).withColumn("token", F.explode("entry_tokens"))
-    entry = written(entry, "entry-words")
-
-    candidates = tokens.join(entry, "token").select(
-        "set_id", "needed", "entry_tokens", "token", "text_id"
-    )
-    candidates = written(candidates, "candidates")
-    checked = texts.select("text_id", words(F.col("text")).alias("words")).join(
-        candidates, "text_id"
-    )
+    possible = written(per_set.where(F.col("n_found") == F.col("n_terms")), "possible-sets")
+    entry = possible.select("set_id", F.explode("rarest.tokens").alias("token"))
+
+    # A text may hold several spellings of the entry term. What a set needs is joined last, to the few pairs left.
+    pairs = tokens.join(entry, "token").select("set_id", "text_id").distinct()
+    pairs = written(pairs, "candidates")
+    checked = pairs.join(worded, "text_id").join(possible.select("set_id", "needed"), "set_id")
     all_present = F.forall("needed", lambda tokens_of: F.arrays_overlap(tokens_of, F.col("words")))
-    # A text may hold several spellings of the entry term; the first one makes the pair.
-    first = F.array_min(F.array_intersect("entry_tokens", "words")) == F.col("token")
-    return checked.where(all_present & first).select("set_id", "text_id")
+    return checked.where(all_present).select("set_id", "text_id")
 
 
 def _spellings_in_use(

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fencewatch.operators.matching import texts_with_all_terms, words
+from fencewatch.operators.matching import sets_in_texts, texts_with_all_terms, words
 from fencewatch.settings import COLOUR_CODES, COMPANY_SUFFIXES, PLACEHOLDER_MAKES
 
 YEAR = "Report Year"
@@ -83,3 +83,15 @@ def match_register(
     texts = listings.select(F.col("listing_id").alias("text_id"), "text")
     fuzzy = "make_terms" if misspelt_makes else None
     return texts_with_all_terms(items, texts, fuzzy).withColumnRenamed("text_id", "listing_id")
+
+
+def match_register_sets(
+    items: DataFrame, listings: DataFrame, misspelt_makes: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`match_register` without its product: ``(set_id, listing_id)`` and ``(item_id, set_id, terms)``.
+
+    Registers hold many items that ask for the same words; each such set of words is paired with its adverts once.
+    """
+    texts = listings.select(F.col("listing_id").alias("text_id"), "text")
+    matches, members = sets_in_texts(items, texts, "make_terms" if misspelt_makes else None)
+    return matches.withColumnRenamed("text_id", "listing_id"), members

@@ -213,6 +213,20 @@ weights AS (
   SELECT word, n_bad, n_good, CAST(round(ln((n_bad + 1) / (totals.bad + 2)) - ln((n_good + 1) / (totals.good + 2)), 6)
     AS DECIMAL(12, 6)) AS weight FROM per_word CROSS JOIN totals)"""
 
+_SETS = f"""WITH advert AS (
+  SELECT p_partkey, list_distinct(string_split('selling my '
+    || CASE WHEN p_partkey % 3 = 0 THEN substr({_MAKER}, 1, 1) || substr({_MAKER}, 3) ELSE {_MAKER} END
+    || ' co ' || p_name || ' ' || ['black', 'blue', 'brown and black', 'silver red', 'xyz'][p_partkey % 5 + 1], ' ')) AS tokens
+  FROM part),
+item AS (
+  SELECT {_MAKER} AS make, list_sort(list_distinct(list_concat([{_MAKER}],
+    CASE WHEN p_partkey % 9 <> 0 THEN string_split(p_name, ' ') ELSE [] END,
+    CASE WHEN p_partkey % 8 <> 0 AND p_partkey % 5 <> 4 THEN {_COLOUR_LIST} ELSE [] END))) AS terms FROM part),
+sets AS (SELECT make, terms, count(*) AS n_items FROM item GROUP BY ALL)
+SELECT array_to_string(terms, ' ') AS terms, n_items, a.p_partkey AS listing_id
+FROM sets s JOIN advert a ON list_has_all(a.tokens, list_filter(s.terms, lambda t: t <> s.make))
+  AND len(list_filter(a.tokens, lambda t: t = s.make OR (length(t) >= 4 AND length(s.make) >= 4 AND levenshtein(t, s.make) <= 1))) > 0"""
+
 _RANKED = f"""WITH advert AS (
   SELECT p_partkey, list_distinct(string_split('selling my '
     || CASE WHEN p_partkey % 3 = 0 THEN substr({_MAKER}, 1, 1) || substr({_MAKER}, 3) ELSE {_MAKER} END
@@ -415,6 +429,7 @@ SELECT token, term FROM ranked WHERE r = 1""",
     "register_match": f"{_REGISTER_PAIRS}",
     "register_job": f"{_REGISTER_PAIRS} AND i.p_partkey % 2 = 1",
     "register_rank": _RANKED,
+    "register_sets": _SETS,
     "page_encodings": _ENCODED,
     "signal_weights": _LEARNT + "".join(
         ("\nSELECT '(constant)' AS signal, round(c0, 6) AS weight FROM learnt",

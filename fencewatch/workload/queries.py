@@ -28,6 +28,7 @@ from fencewatch.operators.register import (
     colour_names,
     make_model_colour,
     match_register,
+    match_register_sets,
     register_items,
     reported_in,
     reported_since,
@@ -444,6 +445,14 @@ def register_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def register_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2-J4 by common words alone: each set of words that items ask for, how many do, and the adverts that have them."""
+    items = register_items(render.register_rows(spark, sf_dir, serial=False), "Occurence Number")
+    matches, members = match_register_sets(items, render.part_adverts(spark, sf_dir, serial=False))
+    sizes = members.groupBy("set_id", F.array_join("terms", " ").alias("terms")).agg(F.count("*").alias("n_items"))
+    return matches.join(sizes, "set_id").select("terms", "n_items", "listing_id")
+
+
 def register_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best adverts of every item, by common words alone."""
     items = register_items(render.register_rows(spark, sf_dir, serial=False), "Occurence Number")
@@ -755,6 +764,7 @@ QUERIES: dict[str, Query] = {
     "make_spelling": make_spelling,
     "register_match": register_match,
     "register_job": register_job,
+    "register_sets": register_sets,
     "register_rank": register_rank,
     "typed_sort_date": typed_sort_date,
     "typed_sort_numeric": typed_sort_numeric,
