@@ -63,6 +63,7 @@ class WordBpe:
         names = {n: token for token, n in ids.items()} | {n: s for s, n in self._special.items()}
         self._names = [names.get(n, "") for n in range(max(names) + 1)]
         self._known: dict[str, bytes] = {}
+        self._plain: dict[str, str] = {}
         self._chunks: dict[str, bytes] = {}
 
     def _pairs(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,22 +128,47 @@ class WordBpe:
         return words + self._plain_words(chunk[at:])
 
     def _plain_words(self, text: str) -> list[str]:
-        """Words of a text without blanks and special tokens.
+        """Words of a text without blanks and special tokens."""
+        return _WORD.findall(text.lower()) if text.isascii() else self._library_words([text])[0]
 
-        Letters, their lower case and their composition are those of the library's version of Unicode, so texts beyond ASCII
-        are normalized and parted by the library; merging is done here.
+    def _library_words(self, texts_: list[str]) -> list[list[str]]:
+        """Words of texts without blanks, in one call of the library for all.
+
+        Letters, their lower case and their composition are those of the library's version of Unicode, so texts beyond
+        ASCII are normalized and parted by the library; merging is done here. A blank composes with nothing, so it
+        keeps the texts apart.
         """
-        if text.isascii():
-            return _WORD.findall(text.lower())
-        parts = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
-        return [bytes(map(self._byte_of.__getitem__, part)).decode() for part, _ in parts]
+        normal = self._library.normalizer.normalize_str(" ".join(texts_))
+        parts = self._library.pre_tokenizer.pre_tokenize_str(normal)
+        starts = np.append(0, np.flatnonzero(np.frombuffer(normal.encode("utf-32-le"), np.uint32) == 0x20) + 1)
+        if len(starts) != len(texts_):
+            raise ValueError("the vocabulary's rules add or drop blanks")
+        owner = np.searchsorted(starts, [start for _, (start, _) in parts], side="right") - 1
+        words: list[list[str]] = [[] for _ in texts_]
+        plain, byte_of = self._plain, self._byte_of
+        for (part, _), text in zip(parts, owner.tolist()):
+            word = plain.get(part)
+            if word is None:
+                word = plain[part] = bytes([byte_of[letter] for letter in part]).decode()
+            words[text].append(word)
+        return words
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self._chunks) > KEPT_WORDS:
             self._chunks.clear()
         if len(self._known) > KEPT_WORDS:
             self._known.clear()
-        split = {chunk: self._words(chunk) for chunk in chunks if chunk not in self._chunks}
+            self._plain.clear()
+        split: dict[str, list[str | int]] = {}
+        beyond: list[str] = []
+        for chunk in chunks:
+            if chunk not in self._chunks:
+                if chunk.isascii() or self._at_special.search(chunk):
+                    split[chunk] = self._words(chunk)
+                else:
+                    beyond.append(chunk)
+        if beyond:
+            split.update(zip(beyond, self._library_words(beyond)))
         new = {word for words in split.values() for word in words if isinstance(word, str)}
         fresh = [word for word in new if word not in self._known]
         if fresh:
