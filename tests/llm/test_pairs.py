@@ -57,7 +57,10 @@ def _near_copies():
     return rows
 
 
-@pytest.mark.parametrize("rule", [jaccard.JaccardRule(), jaccard.JaccardRule(unit=150, sample=20, frequent=2, overlap=1, share=1000, block=3)])
+_SMALL = dict(unit=150, sample=20, frequent=2, overlap=1, share=1000, block=3)
+
+
+@pytest.mark.parametrize("rule", [jaccard.JaccardRule(), jaccard.JaccardRule(**_SMALL), jaccard.JaccardRule(**_SMALL, blocks=0)])
 def test_components_equal_those_of_all_pairs(spark, rule):
     rows = _near_copies() + odd_documents()
     got = jaccard.near_duplicates(with_clashes(spark, rows, "doc_id long, text string"), rule).collect()
