@@ -1,14 +1,16 @@
 """Find the texts that contain all terms of an item, for many items at once.
 
 Spark has no operator for "contains all of these words" between two tables. Comparing every item
-with every text, or pairing on one common word, would grow with the product of both sides. Here
-each item is represented by its rarest term only, found by counting; texts meet items on that term
-and the few candidates are then checked in full. Nothing is capped: an item whose rarest term is
-common gets all its candidates, and a hot term is split by the join at run time.
-
-The small results in between (items, entry words, candidates) are written out once. Spark then knows
-their true size: within its broadcast limit the texts are filtered where they are read and nothing of
-them is shuffled; beyond it both sides are shuffled.
+with every text, or pairing on one common word, would grow with the product of both sides: where
+all words are common, most texts that have an item's rarest word lack the others. Here the words of
+each item are put in one order, the rarest first as counted in the texts, and items that begin alike
+share the beginning. Texts go along these beginnings one word at a time, all texts at once, and a text
+that lacks the next word stays behind: no text meets an item, or another text, that it does not share a
+beginning with. Nothing is capped: there are as many rounds as the longest item has words that occur.
+
+The small results in between (items, beginnings, texts on their way) are written out once. Spark then knows
+their true size: within its broadcast limit the texts are filtered where they are and nothing of
+them is shuffled; beyond it both sides are shuffled and a hot beginning is split by the join at run time.
 """
 
 from __future__ import annotations
@@ -120,29 +122,48 @@ def _matches(keyed: DataFrame, texts: DataFrame, any_fuzzy: bool, min_length: in
     ).select(
         "set_id", "term", "n_terms", F.array_contains("fuzzy_terms", F.col("term")).alias("fuzzy")
     )
-    # Texts are taken apart once; their words are read for counting, for candidates and for the check.
-    worded = written(texts.select("text_id", words(F.col("text")).alias("words")), "text-words")
-    tokens = worded.select("text_id", F.explode("words").alias("token"))
+    # Texts are taken apart once; a text is known by the number of its row.
+    worded = texts.where(F.col("text_id").isNotNull()).select("text_id", words(F.col("text")).alias("words"))
+    worded = written(worded.withColumn("row", F.monotonically_increasing_id()), "text-words")
+    tokens = worded.select("row", "text_id", F.explode("words").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("texts_with"))
 
     spellings = _spellings_in_use(wanted, frequency, any_fuzzy, min_length)
-    found = wanted.join(spellings, ["term", "fuzzy"])
-    per_set = found.groupBy("set_id").agg(
-        F.min(F.struct("texts_with", "term", "tokens")).alias("rarest"),
-        F.collect_list("tokens").alias("needed"),
+    spellings = written(spellings.withColumn("term_id", F.monotonically_increasing_id()), "spellings")
+    place = F.struct("texts_with", "term_id")
+    per_set = wanted.join(spellings, ["term", "fuzzy"]).groupBy("set_id").agg(
+        F.sort_array(F.collect_list(place)).alias("path"),
         F.count("*").alias("n_found"),
         F.max("n_terms").alias("n_terms"),
     )
     # A set with a term that no text has cannot match.
-    possible = written(per_set.where(F.col("n_found") == F.col("n_terms")), "possible-sets")
-    entry = possible.select("set_id", F.explode("rarest.tokens").alias("token"))
-
-    # A text may hold several spellings of the entry term. What a set needs is joined last, to the few pairs left.
-    pairs = tokens.join(entry, "token").select("set_id", "text_id").distinct()
-    pairs = written(pairs, "candidates")
-    checked = pairs.join(worded, "text_id").join(possible.select("set_id", "needed"), "set_id")
-    all_present = F.forall("needed", lambda tokens_of: F.arrays_overlap(tokens_of, F.col("words")))
-    return checked.where(all_present).select("set_id", "text_id")
+    possible = per_set.where(F.col("n_found") == F.col("n_terms")).select("set_id", F.col("path.term_id").alias("path"))
+    possible = written(possible, "possible-sets")
+    beginnings = F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
+    nodes = possible.select(F.explode(beginnings).alias("path")).distinct()
+    nodes = written(nodes.withColumn("depth", F.size("path")), "set-beginnings")
+
+    spelt = spellings.select("texts_with", "term_id", F.explode("tokens").alias("token"))
+    held = tokens.join(spelt, "token").groupBy("row", "text_id").agg(F.sort_array(F.collect_set(place)).alias("held"))
+    live = held.select("text_id", F.col("held.term_id").alias("held"), F.array().cast("array<bigint>").alias("path"))
+    reached: DataFrame | None = None
+    for depth in range(1, (nodes.select(F.max("depth")).first()[0] or 0) + 1):
+        live = written(_one_term_further(live, nodes.where(F.col("depth") == depth).select("path")), "texts-at-sets")
+        here = live.select("text_id", "path")
+        reached = here if reached is None else reached.unionByName(here)
+    if reached is None:
+        reached = live.select("text_id", "path").limit(0)
+    return reached.join(possible, "path").select("set_id", "text_id")
+
+
+def _one_term_further(live: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Texts ``(text_id, held, path)``, each at every ``nodes(path)`` that is one of its terms longer; ``held`` are the terms after it."""
+    grown = live.select("text_id", "held", "path", F.posexplode("held").alias("place", "term_id")).select(
+        "text_id",
+        F.slice("held", F.col("place") + 2, F.size("held")).alias("held"),
+        F.concat("path", F.array("term_id")).alias("path"),
+    )
+    return grown.join(nodes, "path", "left_semi")
 
 
 def _spellings_in_use(

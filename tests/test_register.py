@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fencewatch.operators import matching, register
 from fencewatch.plans.register_job import match_reported_items
 from fencewatch.sources.register import RegisterError, read_register
+from fencewatch.sources.scratch import written
 from tests.pages import REGISTER_HEADER, REGISTER_LINES
 
 
@@ -164,6 +165,36 @@ def test_texts_with_all_terms_against_brute_force(spark, fuzzy):
     assert set(pairs) == wanted
 
 
+def test_common_words_alone_bring_no_more_pairs_than_common_beginnings(spark, monkeypatch):
+    pairs = [(f"ox{i}", f"yak{j}") for i in range(20) for j in range(20)]
+    sizes = []
+
+    def counted(frame, name):
+        stored = written(frame, name)
+        sizes.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(matching, "written", counted)
+    got = matching.texts_with_all_terms(
+        spark.createDataFrame([(i, list(pair)) for i, pair in enumerate(pairs)], "item_id int, terms array<string>"),
+        spark.createDataFrame([(i, " ".join(pair)) for i, pair in enumerate(pairs)], "text_id int, text string"),
+    )
+    assert sorted((r.item_id, r.text_id) for r in got.collect()) == [(i, i) for i in range(len(pairs))]
+    assert max(sizes) <= 2 * len(pairs)
+
+
+def test_texts_and_items_that_come_twice_or_without_an_id(spark):
+    items = [(1, ["red", "bike"]), (1, ["red", "bike"]), (None, ["red"]), (2, None), (3, [])]
+    texts = [(7, "red bike"), (7, "a bike, red"), (7, "red"), (None, "red bike"), (8, None)]
+    matches, members = matching.sets_in_texts(
+        spark.createDataFrame(items, "item_id int, terms array<string>"),
+        spark.createDataFrame(texts, "text_id int, text string"),
+    )
+    sets = {tuple(r.terms): r.set_id for r in members.where("size(terms) > 0").collect()}
+    got = sorted((r.set_id, r.text_id) for r in matches.collect())
+    assert got == sorted([(sets["bike", "red"], 7)] * 2 + [(sets["red",], 7)] * 3)
+
+
 def test_register_job(spark, write):
     frame = read_register(spark, write(HEADER, *REGISTER_LINES))
     listings = spark.createDataFrame(
