@@ -7,11 +7,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fencewatch.operators import contains
 from fencewatch.operators.asof import first_adverts, next_event
 from fencewatch.operators.chains import answer_locations, chain_starts, next_page
 from fencewatch.operators.contains import grams, search_requests
 from fencewatch.operators.price_levels import price_level, price_sketches
 from fencewatch.sources.json_rows import array_rows
+from fencewatch.sources.scratch import written
 
 # --- contains
 
@@ -57,6 +59,29 @@ def test_requests_find_what_a_nested_loop_finds(spark):
     assert sets["again"] == sets["twin"]
 
 
+@pytest.mark.parametrize("at_once", [10, 1000])
+def test_pairs_of_sets_and_texts_are_never_stored(spark, monkeypatch, at_once):
+    sizes = []
+
+    def counted(frame, name):
+        stored = written(frame, name)
+        sizes.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(contains, "written", counted)
+    monkeypatch.setattr(contains, "SETS_AT_ONCE", at_once, raising=False)
+    one_word, other_word = [f"a{chr(98 + i)}c" for i in range(12)], [f"x{chr(98 + i)}z" for i in range(12)]
+    requests = [(f"{a}-{b}", "x", f"{a} {b}") for a in one_word for b in other_word]
+    adverts = [(i, "x", " ".join(one_word + other_word)) for i in range(40)]
+    found, members = search_requests(
+        spark.createDataFrame(requests, "request_id string, city string, terms string"),
+        spark.createDataFrame(adverts, "advert_id int, city string, text string"),
+    )
+    got = members.join(found, "set_id").select("request_id", "advert_id").collect()
+    assert sorted(tuple(r) for r in got) == _plain_search(requests, adverts)
+    assert len(got) == 144 * 40 and max(sizes) <= 24 * 40
+
+
 def test_no_requests_or_no_adverts(spark):
     none = spark.createDataFrame([], "request_id string, city string, terms string")
     some = spark.createDataFrame([("r", "x", "a")], none.schema)
