@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _CHUNK = regex.compile(f"[^{_BLANK}]+")
 #: How this family of vocabularies parts words of ASCII text after lower-casing; fixed with the vocabulary.
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
+#: The same for texts of ASCII alone, with the blank between them as a word.
+_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+| ")
 _NONE = np.int32(2**31 - 1)
 #: Words whose ids a task keeps; the store starts afresh beyond, which costs time only.
 KEPT_WORDS = 300_000
@@ -51,6 +54,7 @@ class WordBpe:
         end = model.get("end_of_word_suffix") or ""
         self._special = {token["content"]: token["id"] for token in stored["added_tokens"]}
         self._at_special = regex.compile("|".join(map(regex.escape, self._special)) or r"(?!)")
+        self._letter_special = any(re.search("^[A-Za-z]+$", token) for token in self._special)
         letters = byte_letters()
         self._byte_of = {letter: byte for byte, letter in enumerate(letters)}
         self._inner = np.array([ids[c] for c in letters], np.int64)
@@ -108,7 +112,7 @@ class WordBpe:
             at = (np.cumsum(keep) - 1)[at]
             symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
             # Only pairs with a merged symbol are new.
-            near = np.union1d(at, np.maximum(at - 1, 0))
+            near = np.concatenate((at, np.maximum(at - 1, 0)))
             rank[near], made[near] = self._pairs(symbols, owner, near)
         symbols = np.concatenate(done_symbols) if done_symbols else np.zeros(0, np.int64)
         owner = np.concatenate(done_owners) if done_owners else np.zeros(0, np.int64)
@@ -131,6 +135,16 @@ class WordBpe:
         """Words of a text without blanks and special tokens."""
         return _WORD.findall(text.lower()) if text.isascii() else self._library_words([text])[0]
 
+    def _ascii_words(self, texts_: list[str]) -> list[list[str]]:
+        """Words of ASCII texts without blanks and special tokens, in one search for all."""
+        words: list[list[str]] = [[]]
+        for word in _ASCII_WORD.findall(" ".join(texts_).lower()):
+            if word == " ":
+                words.append([])
+            else:
+                words[-1].append(word)
+        return words if texts_ else []
+
     def _library_words(self, texts_: list[str]) -> list[list[str]]:
         """Words of texts without blanks, in one call of the library for all.
 
@@ -159,24 +173,30 @@ class WordBpe:
         if len(self._known) > KEPT_WORDS:
             self._known.clear()
             self._plain.clear()
+        chunks_, known = self._chunks, self._known
+        new = [chunk for chunk in chunks if chunk not in chunks_]
+        letters = {chunk: chunk.lower() for chunk in new if chunk.isascii() and chunk.isalpha()}
+        if self._letter_special:
+            letters = {}
+        rest = [chunk for chunk in new if chunk not in letters]
         split: dict[str, list[str | int]] = {}
-        beyond: list[str] = []
-        for chunk in chunks:
-            if chunk not in self._chunks:
-                if chunk.isascii() or self._at_special.search(chunk):
-                    split[chunk] = self._words(chunk)
-                else:
-                    beyond.append(chunk)
+        # One search tells whether any of them holds a special token at all: none has a blank.
+        if self._at_special.search(" ".join(rest)):
+            split = {chunk: self._words(chunk) for chunk in rest if self._at_special.search(chunk)}
+            rest = [chunk for chunk in rest if chunk not in split]
+        ascii_ = [chunk for chunk in rest if chunk.isascii()]
+        split.update(zip(ascii_, self._ascii_words(ascii_)))
+        beyond = [chunk for chunk in rest if not chunk.isascii()]
         if beyond:
             split.update(zip(beyond, self._library_words(beyond)))
-        new = {word for words in split.values() for word in words if isinstance(word, str)}
-        fresh = [word for word in new if word not in self._known]
+        words = {word for words in split.values() for word in words if isinstance(word, str)}
+        fresh = [word for word in words.union(letters.values()) if word not in known]
         if fresh:
-            self._known.update(zip(fresh, self._merged(fresh)))
-        known = self._known
-        for chunk, words in split.items():
-            self._chunks[chunk] = b"".join(
-                [known[w] if isinstance(w, str) else np.array([w], "<i4").tobytes() for w in words]
+            known.update(zip(fresh, self._merged(fresh)))
+        chunks_.update([(chunk, known[word]) for chunk, word in letters.items()])
+        for chunk, found in split.items():
+            chunks_[chunk] = b"".join(
+                [known[w] if isinstance(w, str) else np.array([w], "<i4").tobytes() for w in found]
             )
 
     def encode(self, rows: list[str]) -> list[bytes]:

@@ -197,6 +197,20 @@ def test_byte_pairs_equal_the_library(spark, odd):
         assert own.decode(np.array(wanted, np.int64)) == library.decode(wanted, skip_special_tokens=False)
 
 
+def test_plain_chunks_of_a_batch_are_parted_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(WORDS), bpe.WordBpe(WORDS)
+    special = next(iter(own._special))
+    rows = ["It's 'TIS we'll've don't'd 12a3 a-b...c !!", f"x{special}y{special.upper()} 's 'S", "\x1c\x1fA \x00 a\x0bb", "Zo\u00eb's z", "", "it's"]
+    parted = []
+    words_of = bpe.WordBpe._words
+    monkeypatch.setattr(bpe.WordBpe, "_words", lambda self, chunk: parted.append(chunk) or words_of(self, chunk))
+    for ids, text in zip(own.encode(rows), rows):
+        assert np.frombuffer(ids, "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(parted) == 1 and special in parted[0]
+
+
 def test_every_code_point_gets_the_ids_of_the_library():
     from tokenizers import Tokenizer
 
