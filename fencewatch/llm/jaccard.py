@@ -1,6 +1,6 @@
 """Near duplicates by an exact Jaccard join on word n-grams, with prefix trees.
 
-All n-grams have one order: those that a sample of the corpus shows to be frequent come last, the others go by
+All n-grams have one order: those that many texts of the corpus have, all of them counted, come last, the others go by
 their hash. Alike sets must share some n-grams among the first of that order (the prefix), so only
 prefixes are exchanged, and of these only n-grams that several sets have: a bitmap of them, sized by
 their number, is applied before anything else is moved. Sets that share fewer prefix n-grams than alike sets
@@ -34,13 +34,11 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: 64-bit words of a set's parity bitmap, for small sets.
 _WORDS = 16
-#: Share of the hash range in which n-grams are looked for in the sample: prefixes hold the lowest hashes.
-_SAMPLED_RANGE = 0.4
 
 
 @dataclass(frozen=True)
 class JaccardRule:
-    """``percent`` of the union must be shared. N-grams that ``frequent`` texts of a sample of about ``sample`` texts have are
+    """``percent`` of the union must be shared. N-grams that ``frequent`` of every ``sample`` texts have, and ``frequent`` at least, are
     ordered last. Alike sets share ``overlap`` n-grams of their prefixes, and one more for each ``share`` n-grams
     of the smaller set. ``unit`` is how many n-grams one tree holds. A cluster of more than ``blocks`` halves of
     that is gone through group by group, ``block`` sets of a group together.
@@ -84,7 +82,7 @@ def shingles(column: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Frequencies:
-    """How often the frequent n-grams were met in the sample; all others count as not met."""
+    """How many texts have each frequent n-gram among their lowest; all others count as not met."""
 
     numbers: np.ndarray
     counts: np.ndarray
@@ -97,23 +95,27 @@ class Frequencies:
 
 
 def frequencies(documents: DataFrame, rule: JaccardRule = JaccardRule()) -> Frequencies:
-    """N-grams that several texts of a sample of bounded size have.
+    """N-grams that many texts have: a share of all texts, so that their number does not grow with the corpus.
 
-    Only the order of the n-grams comes from the sample, so that it never changes a result. An n-gram that a
-    fixed share of a corpus has is found at every size; one in a fixed number of texts makes groups of fixed size. N-grams of
-    high hashes are not counted: they come into no prefix before the others are used up.
+    Every text is counted, with the n-grams that its prefix can take: half as many again as it has places, lowest hashes
+    first; a text of few n-grams with all. An n-gram that a fixed share of a corpus has is found at every size; one in a
+    fixed number of texts makes groups of fixed size. Only the order of the n-grams comes from the counts, so that
+    they never change a result.
     """
-    share = min(1.0, rule.sample / max(documents.count(), 1))
+    least = max(rule.frequent, -(-documents.count() * rule.frequent // rule.sample))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            values = shingles(batch.column(0), rule.words)[0]
-            values, n = np.unique(values[values < np.uint64(_SAMPLED_RANGE * 2.0**64)], return_counts=True)
+            values, bounds = shingles(batch.column(0), rule.words)
+            sizes = np.diff(bounds)
+            places = np.minimum(sizes, 3 * prefix_size(sizes, rule) // 2)
+            within = np.arange(len(values)) - np.repeat(bounds[:-1], sizes) < np.repeat(places, sizes)
+            values, n = np.unique(values[within], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(values)), pa.array(n)], ["token", "n"])
 
-    sampled = documents.where(F.col("text").isNotNull() & (F.rand(11) < share)).select("text")
-    counted = sampled.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= rule.frequent).toPandas()
+    stated = documents.where(F.col("text").isNotNull()).select("text")
+    counted = stated.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") >= least).toPandas()
     numbers = rows["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(numbers)
     return Frequencies(numbers[order], rows["n"].to_numpy(np.int64)[order])

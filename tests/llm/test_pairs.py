@@ -1,10 +1,12 @@
 """Jaccard join, neighbours, reply trees, pages and URLs against plain versions of themselves."""
 
+import collections
 import os
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fencewatch.llm import chat, dom, jaccard, neighbours, pages, trie, urls
@@ -428,3 +430,17 @@ def test_queries_equal_their_sql(spark, name):
     from tests.oracle_check import compare, connect
 
     assert compare(spark, connect(DATA), name, DATA) is None
+
+
+@pytest.mark.parametrize("rule", [jaccard.JaccardRule(words=1, sample=20, frequent=2), jaccard.JaccardRule(words=1, frequent=60)])
+def test_frequent_word_sequences_are_counted_in_every_text(spark, rule):
+    draw = random.Random(3)
+    rows = [(i, " ".join(f"w{int(draw.paretovariate(0.7))}" for _ in range(12))) for i in range(300)] + [(300, None), (301, "")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held = collections.Counter(word for _, text in rows for word in set((text or "").split()))
+    got = jaccard.frequencies(documents, rule)
+    least = 31 if rule.sample == 20 else 60  # 302 texts
+    wanted = {word: n for word, n in held.items() if n >= least}
+    assert len(wanted) > 2 and sorted(got.counts.tolist()) == sorted(wanted.values())
+    values = jaccard.shingles(pa.array(list(wanted)), 1)[0]
+    assert got(values).tolist() == list(wanted.values())
