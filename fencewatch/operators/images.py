@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fencewatch.operators.keyed import aggregate_per_key, newest_per_key
+from fencewatch.operators.keyed import aggregate_per_key, join_on_text, newest_per_key
 from fencewatch.settings import IMAGE_ARGUMENT_SEPARATOR, IMAGE_HOST
 from fencewatch.sources.scratch import written
 
@@ -57,7 +57,7 @@ def read_match_pages(pages: DataFrame) -> DataFrame:
 
 def count_matches(images: DataFrame, match_pages: DataFrame) -> DataFrame:
     """Add ``match_count`` to image rows; 0 where the lookup failed or is missing."""
-    joined = images.join(read_match_pages(match_pages), "image_uri", "left")
+    joined = join_on_text(images, read_match_pages(match_pages), "image_uri", "left")
     return joined.select(
         "listing_id", "pos", "image_uri", F.coalesce("match_count", F.lit(0)).alias("match_count")
     )
@@ -102,7 +102,7 @@ def match_locations(pages: DataFrame) -> DataFrame:
 
 def originals_used(images: DataFrame, locations: DataFrame) -> DataFrame:
     """Which listing uses which original, each pair once: ``(original_url, listing_id)``."""
-    return images.join(locations, "image_uri").select("original_url", "listing_id").distinct()
+    return join_on_text(images, locations, "image_uri").select("original_url", "listing_id").distinct()
 
 
 def adverts_per_original(used: DataFrame) -> DataFrame:
@@ -114,5 +114,5 @@ def shared_images(images: DataFrame, locations: DataFrame) -> DataFrame:
     """``(listing_id, shared_by)``: the widest sharing of any original that the listing uses."""
     # Needed on both sides of a join, so it is computed once.
     used = written(originals_used(images, locations), "originals-used")
-    widest = used.join(adverts_per_original(used), "original_url")
+    widest = join_on_text(used, adverts_per_original(used), "original_url")
     return widest.groupBy("listing_id").agg(F.max("n_listings").alias("shared_by"))

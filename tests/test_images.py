@@ -1,11 +1,15 @@
+import collections
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from fencewatch.operators import images
+from fencewatch.operators.keyed import join_on_text, newest_per_key
 from fencewatch.operators.output import image_response_json
 from fencewatch.plans.image_lookup import look_up_images
+from fencewatch.workload import render
 from tests.pages import match_page
 
 HOST = "http://images.craigslist.org/"
@@ -110,3 +114,28 @@ def test_listing_images(spark):
 def test_counts_of_one_and_of_thousands(many):
     pages = ["<h2><span>1</span> Result</h2>", "<h2> <span>1,234,567</span> Results", "<h2><span>x</span> Results"]
     assert many(pages, images.match_count) == [1, 1234567, None]
+
+
+def test_a_join_by_hash_equals_a_join(spark):
+    left = spark.createDataFrame([("http://a/1", 1), ("http://a/2", 2), ("http://a/2", 3), (None, 4)], "url string, n int")
+    right = spark.createDataFrame([("http://a/2", "x"), ("http://a/2", "y"), ("http://a/3", "z"), (None, "w")], "url string, v string")
+    for how in ("inner", "left"):
+        got, wanted = join_on_text(left, right, "url", how), left.join(right, "url", how)
+        assert got.columns == wanted.columns
+        assert collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, wanted.collect()))
+
+
+def test_newest_rows_are_sorted_by_a_number_first(spark):
+    pages = spark.createDataFrame([("http://a/1", 1, "old"), ("http://a/1", 2, "new"), (None, 3, "none")], "url string, fetched_at int, html string")
+    newest = newest_per_key(pages, "url", [F.col("fetched_at").desc()])
+    assert [r["html"] for r in newest.collect()] == ["new"]
+    plan = newest._jdf.queryExecution().optimizedPlan().toString()
+    assert "__key_hash" in re.search(r"row_number\(\) windowspecdefinition\((\w+)", plan)[1]
+
+
+def test_rendered_rows_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    rows = spark.range(1000).coalesce(1)
+    assert render.spread(rows, "id").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(render, "ROWS_OF_A_TASK", 100)
+    dealt = render.spread(rows, "id")
+    assert dealt.rdd.getNumPartitions() == 10 and sorted(r["id"] for r in dealt.collect()) == list(range(1000))
