@@ -7,9 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fencewatch.operators import contains
+from fencewatch.operators import contains, keyed
 from fencewatch.operators.asof import first_adverts, next_event
-from fencewatch.operators.chains import answer_locations, chain_starts, next_page
+from fencewatch.operators.chains import answer_locations, chain_starts, next_page, page_starts
 from fencewatch.operators.contains import grams, search_requests
 from fencewatch.operators.price_levels import price_level, price_sketches
 from fencewatch.sources.json_rows import array_rows
@@ -188,6 +188,30 @@ def test_locations_of_all_pages_of_an_answer(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("A", "w"), ("A", "x"), ("A", "y"), ("A", "z"), ("B", "x")]
 
 
+def test_locations_of_many_pages_come_in_parts_by_their_number(spark, monkeypatch):
+    def html(answer, page):
+        places = "".join(f'<div class="search-results-location"><p><a href="p{answer}/{(page * 3 + i) // 2}">x</a></p></div>' for i in range(4))
+        after = f'<a href="u{answer}/{page + 1}">Next »</a>' if page < answer % 6 else ""
+        return f'{places}<div class="pagination">{after}</div>'
+
+    rows = [(f"u{n}/{p}", f"I{n % 90}" if p == 0 else None, 200, html(n, p)) for n in range(100) for p in range(n % 6 + 1)]
+    rows += [rows[7], (None, "no address", 200, html(1, 1)), ("alone", None, 200, html(2, 9))]
+    frame = spark.createDataFrame(rows, "url string, image_uri string, http_status int, html string")
+    wanted = sorted({(f"I{n % 90}", f"p{n}/{(p * 3 + i) // 2}") for n in range(100) for p in range(n % 6 + 1) for i in range(4)})
+    assert sorted(tuple(r) for r in answer_locations(frame).collect()) == wanted
+    # 1,400 addresses of 350 pages: a task is given 20, not what adaptive execution takes for a small part.
+    monkeypatch.setattr(keyed, "ROWS_OF_A_TASK", 20)
+    found = answer_locations(frame).select("*", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r["image_uri"], r["original_url"]) for r in found) == wanted
+    assert len({r["part"] for r in found}) > 40
+
+
+def test_numbered_pages_of_chains(spark):
+    rows = [(10, "b", "c", True), (11, "a", "c", True), (12, "c", "d", False), (13, "d", "c", False), (14, "x", None, False)]
+    links = written(spark.createDataFrame(rows, "page long, url string, next_url string, is_start boolean"), "links")
+    assert sorted(tuple(r) for r in page_starts(links).collect()) == [(10, 10), (11, 11), (12, 11), (13, 11)]
+
+
 # --- JSON arrays
 
 
