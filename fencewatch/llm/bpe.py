@@ -25,13 +25,24 @@ _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _CHUNK = regex.compile(f"[^{_BLANK}]+")
 #: How this family of vocabularies parts words of ASCII text after lower-casing; fixed with the vocabulary.
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
-#: The same for texts of ASCII alone, with the blank between them as a word.
-_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+| ")
+#: The same for texts of Latin-1 alone, with the blank between them as a word. What is a letter, a digit or a capital there
+#: is the same in all versions of Unicode, and no two of these characters compose.
+_LATIN_WORD = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+| "
+)
+_LATIN = re.compile(r"[\x00-\xff]+").fullmatch
+#: Blanks of ``str.split`` that are none of the vocabulary's; the others are the same.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _NONE = np.int32(2**31 - 1)
-#: Words whose ids a task keeps; the store starts afresh beyond, which costs time only.
+#: Words whose ids a task keeps; beyond, the store starts afresh with those of the batch, which costs time only.
 KEPT_WORDS = 300_000
 
 
+def chunks_of(text: str) -> list[str]:
+    """What stands between the blanks of a text."""
+    return _CHUNK.findall(text) if any(mark in text for mark in _SEPARATORS) else text.split()
+
+
 def byte_letters() -> list[str]:
     """The character that stands for each byte in a byte-level vocabulary, by its rule."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -135,10 +146,10 @@ class WordBpe:
         """Words of a text without blanks and special tokens."""
         return _WORD.findall(text.lower()) if text.isascii() else self._library_words([text])[0]
 
-    def _ascii_words(self, texts_: list[str]) -> list[list[str]]:
-        """Words of ASCII texts without blanks and special tokens, in one search for all."""
+    def _latin_words(self, texts_: list[str]) -> list[list[str]]:
+        """Words of Latin-1 texts without blanks and special tokens, in one search for all."""
         words: list[list[str]] = [[]]
-        for word in _ASCII_WORD.findall(" ".join(texts_).lower()):
+        for word in _LATIN_WORD.findall(" ".join(texts_).lower()):
             if word == " ":
                 words.append([])
             else:
@@ -149,7 +160,7 @@ class WordBpe:
         """Words of texts without blanks, in one call of the library for all.
 
         Letters, their lower case and their composition are those of the library's version of Unicode, so texts beyond
-        ASCII are normalized and parted by the library; merging is done here. A blank composes with nothing, so it
+        Latin-1 are normalized and parted by the library; merging is done here. A blank composes with nothing, so it
         keeps the texts apart.
         """
         normal = self._library.normalizer.normalize_str(" ".join(texts_))
@@ -169,13 +180,13 @@ class WordBpe:
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self._chunks) > KEPT_WORDS:
-            self._chunks.clear()
+            self._chunks = {chunk: self._chunks[chunk] for chunk in chunks if chunk in self._chunks}
         if len(self._known) > KEPT_WORDS:
             self._known.clear()
             self._plain.clear()
         chunks_, known = self._chunks, self._known
         new = [chunk for chunk in chunks if chunk not in chunks_]
-        letters = {chunk: chunk.lower() for chunk in new if chunk.isascii() and chunk.isalpha()}
+        letters = {chunk: chunk.lower() for chunk in new if chunk.isalpha() and (chunk.isascii() or _LATIN(chunk))}
         if self._letter_special:
             letters = {}
         rest = [chunk for chunk in new if chunk not in letters]
@@ -184,9 +195,9 @@ class WordBpe:
         if self._at_special.search(" ".join(rest)):
             split = {chunk: self._words(chunk) for chunk in rest if self._at_special.search(chunk)}
             rest = [chunk for chunk in rest if chunk not in split]
-        ascii_ = [chunk for chunk in rest if chunk.isascii()]
-        split.update(zip(ascii_, self._ascii_words(ascii_)))
-        beyond = [chunk for chunk in rest if not chunk.isascii()]
+        latin = [chunk for chunk in rest if chunk.isascii() or _LATIN(chunk)]
+        split.update(zip(latin, self._latin_words(latin)))
+        beyond = [chunk for chunk in rest if chunk not in split]
         if beyond:
             split.update(zip(beyond, self._library_words(beyond)))
         words = {word for words in split.values() for word in words if isinstance(word, str)}
@@ -201,10 +212,10 @@ class WordBpe:
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit numbers."""
-        parts = [_CHUNK.findall(text) for text in rows]
+        parts = [chunks_of(text) for text in rows]
         self._learn(set().union(*parts))
         chunks = self._chunks
-        return [b"".join([chunks[part] for part in row]) for row in parts]
+        return [b"".join(map(chunks.__getitem__, row)) for row in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         """Names of the ids joined by one blank: these vocabularies name no decoder of their own."""

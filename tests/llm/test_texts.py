@@ -211,6 +211,39 @@ def test_plain_chunks_of_a_batch_are_parted_together(monkeypatch):
     assert len(parted) == 1 and special in parted[0]
 
 
+def test_latin_chunks_are_parted_without_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(WORDS), bpe.WordBpe(WORDS)
+    draw = random.Random(9)
+    signs = [chr(c) for c in range(0x100)] + list("aeÉß'sS \u00a0,.") * 8
+    rows = ["".join(draw.choices(signs, k=draw.randint(1, 60))) for _ in range(3000)] + ["ÜBER l'été ¿qué? 1½² µm ×÷ ªº 'S\u00a0\u0085x"]
+    asked = []
+    words_of = bpe.WordBpe._library_words
+    monkeypatch.setattr(bpe.WordBpe, "_library_words", lambda self, chunks: asked.extend(chunks) or words_of(self, chunks))
+    ids = own.encode([*rows, "śx e\u0301"])
+    assert [np.frombuffer(i, "<i4").tolist() for i in ids[:-1]] == [library.encode(r, add_special_tokens=False).ids for r in rows]
+    assert sorted(asked) == ["e\u0301", "śx"]
+
+
+def test_blanks_part_a_text_as_the_vocabulary_does():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert [c for c in points if (len(f"a{c}b".split()) == 2) != (len(bpe._CHUNK.findall(f"a{c}b")) == 2)] == list(bpe._SEPARATORS)
+    assert bpe.chunks_of("a\x1cb c\u3000d") == ["a\x1cb", "c", "d"] and bpe.chunks_of(" a\u00a0b ") == ["a", "b"] and bpe.chunks_of("") == []
+
+
+def test_a_full_store_keeps_the_words_of_the_batch(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
+    own, fresh = bpe.WordBpe(WORDS), bpe.WordBpe(WORDS)
+    own.encode(["one two, three four"])
+    parted = []
+    merged = bpe.WordBpe._merged
+    monkeypatch.setattr(bpe.WordBpe, "_merged", lambda self, words: parted.extend(words) or merged(self, words))
+    got = own.encode(["one two, six"])
+    assert parted == ["six"] and set(own._chunks) == {"one", "two,", "six"}
+    assert got == fresh.encode(["one two, six"])
+
+
 def test_every_code_point_gets_the_ids_of_the_library():
     from tokenizers import Tokenizer
 
