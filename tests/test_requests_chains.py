@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fencewatch.operators import contains, keyed
 from fencewatch.operators.asof import first_adverts, next_event
 from fencewatch.operators.chains import answer_locations, chain_starts, next_page, page_starts
-from fencewatch.operators.contains import grams, search_requests
+from fencewatch.operators.contains import answers, grams, search_requests, starts
 from fencewatch.operators.price_levels import price_level, price_sketches
 from fencewatch.sources.json_rows import array_rows
 from fencewatch.sources.scratch import written
@@ -82,6 +82,65 @@ def test_pairs_of_sets_and_texts_are_never_stored(spark, monkeypatch, at_once):
     assert len(got) == 144 * 40 and max(sizes) <= 24 * 40
 
 
+def test_starts(one):
+    assert sorted(one("abcabcd e", lambda t: starts(t, 3))) == ["abc", "bca", "bcd", "cab", "cd", "d", "e"]
+    assert one(" \n", starts) == [] and one("", starts) == []
+    assert sorted(one("ñ😀xyz1", starts)) == ["1", "xyz1", "yz1", "z1", "ñ😀xyz", "😀xyz1"]
+    assert len(one("".join(chr(97 + i * i % 23) for i in range(300_000)), starts)) < 300_000
+
+
+@pytest.mark.parametrize("at_once", [80, 1000])
+def test_answers_with_long_terms_many_terms_and_copies(spark, monkeypatch, at_once):
+    monkeypatch.setattr(contains, "SETS_AT_ONCE", at_once)
+    monkeypatch.setattr(contains, "REQUESTS_AT_ONCE", at_once)
+    monkeypatch.setattr(contains, "LETTERS_OF_A_TASK", 500)
+    draw = random.Random(at_once)
+    words = ["".join(draw.choice("abñ😀") for _ in range(draw.randint(1, 9))) for _ in range(60)]
+    adverts = [(i, draw.choice("xy"), " ".join(draw.choice(words) for _ in range(draw.randint(0, 40)))) for i in range(80)]
+    # More terms than bits in a number, in one city.
+    adverts += [(100 + i, "z", " ".join(f"t{n}" for n in range(i, 200, 3))) for i in range(3)]
+    requests = []
+    for i in range(120):
+        terms = []
+        for _ in range(draw.randint(1, 9)):
+            word = draw.choice(words)
+            at = draw.randint(0, len(word) - 1)
+            terms.append(word[at : at + draw.randint(1, 9)])
+        requests.append((draw.choice([f"r{i}", "same", None]), draw.choice("xy"), " ".join(terms)))
+    requests += [(f"z{i}", "z", f"t{draw.randint(0, 199)} t{draw.randint(0, 199)}") for i in range(200)]
+    # A longer term whose beginning is there, and one over the end of a word.
+    adverts.append((200, "x", "qqqqqqq wwwww"))
+    adverts.append((201, "x", "😀xyz"))
+    requests += [("half", "x", "?xyz"), ("half", "x", "?xy"), ("long", "x", "qqqqqqq"), ("longer", "x", "qqqqqqqq"), ("over", "x", "qqwww")]
+    named = [(request_id or "", city, terms) for request_id, city, terms in requests]
+    wanted = _plain_search(named, adverts)
+    wanted += [row for row in _plain_search(named, adverts[:10]) for _ in range(3)]  # two copies each find both
+    wanted = [(request_id or None, advert_id) for request_id, advert_id in wanted]
+    frame = spark.createDataFrame(adverts + adverts[:10] + [(None, "x", "a b"), (300, None, "a b")], "advert_id int, city string, text string")
+    found, members = search_requests(spark.createDataFrame(requests, "request_id string, city string, terms string"), frame)
+    by_id = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    assert by_id(answers(found, members).collect()) == by_id(wanted) and len(wanted) > 1000
+    assert by_id(members.join(found, "set_id").select("request_id", "advert_id").collect()) == by_id(wanted)
+
+
+def test_sets_meet_bits_and_matches_are_not_shuffled(spark):
+    texts = [(i, "x", f"advert {i} of a chair") for i in range(50)]
+    adverts = spark.createDataFrame(texts, "advert_id int, city string, text string")
+    asked = [(f"r{i}", "x", f"{i} chair of advert a air dve") for i in range(50)]
+    requests = spark.createDataFrame(asked, "request_id string, city string, terms string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found, members = search_requests(requests, adverts)
+        given = answers(found, members)
+        assert sorted(tuple(r) for r in given.collect()) == _plain_search(asked, texts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = given._jdf.queryExecution().executedPlan().toString()
+    # Texts are not looked at for a set, and neither texts nor matches are sorted for a join.
+    assert "text#" not in plan and "contains(" not in plan.lower() and "SortMergeJoin" not in plan
+
+
 def test_no_requests_or_no_adverts(spark):
     none = spark.createDataFrame([], "request_id string, city string, terms string")
     some = spark.createDataFrame([("r", "x", "a")], none.schema)
@@ -89,6 +148,14 @@ def test_no_requests_or_no_adverts(spark):
     assert search_requests(none, adverts)[0].count() == search_requests(some, adverts)[0].count() == 0
 
 
+def test_no_answers(spark):
+    none = spark.createDataFrame([], "request_id string, city string, terms string")
+    adverts = spark.createDataFrame([(1, "x", "b")], "advert_id int, city string, text string")
+    for requests in (none, spark.createDataFrame([("r", "x", "a")], none.schema)):
+        for searched in (adverts, adverts.limit(0)):
+            assert answers(*search_requests(requests, searched)).count() == 0
+
+
 # --- as-of
 
 
